@@ -54,7 +54,8 @@ def wrap_lng(lng) -> Column:
 
 def grid_cell(value, step: float = 0.5) -> Column:
     """Nearest grid line, halves to even."""
-    return F.bround(_d(value) / step, 0) * F.lit(step)
+    # Adding zero folds -0.0 into 0.0, so ids of the cell at the origin agree.
+    return F.bround(_d(value) / step, 0) * F.lit(step) + F.lit(0.0)
 
 
 def tile_row(lat) -> Column:
