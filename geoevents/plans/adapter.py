@@ -121,7 +121,7 @@ VIEWS: dict[str, str] = {
       SELECT 'item:' || CAST(doc_id AS STRING) AS item_id, doc_id, source AS publisher_id, lang AS country, text,
         CASE WHEN doc_id % 13 <> 0 THEN <TS>'2024-01-28 00:00:00' + INTERVAL '1' MINUTE * ((doc_id*7919) % 5000) END AS published_at
       FROM documents""",
-    "country_edge": _values(_country_edges(), "country_id, part, ring, seq, ax, ay, bx, by"),
+    "country_edge": _values(_country_edges(), "country_id, part, ring, seq, x1, y1, x2, y2"),
     "country_dim": _values([f"('{c}', '{n}', {i})" for i, (c, n, _) in enumerate(COUNTRIES)], "country_id, name, position"),
     "layer_category": _values([f"('{layer}', '{cat}')" for layer, cat in LAYER_CATEGORY.items()], "layer_id, category"),
     "vectors": "SELECT 'ev:' || CAST(vec_id AS STRING) AS key, vec_id, embedding, label FROM embeddings",

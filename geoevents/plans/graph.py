@@ -1 +1,151 @@
-"""Plans."""
+"""Components, greedy selections, duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import score as M
+from ..operators import dedup as dd
+from ..operators import graph as op
+from ..operators import pairs
+from .pairs import H, KM
+from .registry import query
+from .scalars import _COORD, nearest_spot
+
+c = F.col
+
+
+@query("link_index", "SELECT source_id AS id, target_id AS other, link_id FROM ev_link UNION ALL SELECT target_id, source_id, link_id FROM ev_link WHERE source_id <> target_id")
+def link_index(v):
+    return op.link_index(v.ev_link).select("id", "other", "link_id")
+
+
+@query("link_degree", "SELECT id, COUNT(*) AS links FROM (SELECT source_id AS id FROM ev_link UNION ALL SELECT target_id FROM ev_link WHERE source_id <> target_id) GROUP BY id")
+def link_degree(v):
+    return op.link_degree(v.ev_link)
+
+
+@query("connected_events", """WITH o AS (SELECT id, ROW_NUMBER() OVER (ORDER BY significance DESC, id) AS pick FROM ev QUALIFY pick <= 200), i AS (SELECT source_id AS id, target_id AS other, link_id FROM ev_link WHERE source_id <> target_id UNION ALL SELECT target_id, source_id, link_id FROM ev_link WHERE source_id <> target_id),
+  s AS (SELECT id FROM ev WHERE significance >= 5) SELECT link_id, i.id AS origin, other AS "to" FROM i JOIN o USING (id) WHERE i.id IN (SELECT id FROM s) AND other IN (SELECT id FROM s) QUALIFY ROW_NUMBER() OVER (PARTITION BY link_id ORDER BY pick) = 1""")
+def connected_events(v):
+
+    chosen = v.ev.orderBy(F.desc("significance"), "id").limit(200)
+    origins = chosen.select("id", F.row_number().over(Window.orderBy(F.desc("significance"), "id")).alias("pick"))
+    return op.connected_events(origins, v.ev_link, v.ev.filter("significance >= 5"))
+
+
+@query("dangling_links", """WITH l AS (SELECT id FROM ev WHERE significance >= 20), i AS (SELECT source_id AS id, target_id AS other FROM ev_link UNION ALL SELECT target_id, source_id FROM ev_link WHERE source_id <> target_id)
+  SELECT id, COUNT(*) AS missing FROM i WHERE id IN (SELECT id FROM l) AND other NOT IN (SELECT id FROM l) GROUP BY id""")
+def dangling_links(v):
+    return op.dangling_links(v.ev_link, v.ev.filter("significance >= 20"))
+
+
+@query("two_hop_links", "SELECT a.source_id, a.target_id AS via, b.target_id FROM ev_link a JOIN ev_link b ON a.target_id = b.source_id WHERE a.confidence >= 0.5 AND b.confidence >= 0.5")
+def two_hop_links(v):
+    return op.two_hop(v.ev_link.filter("confidence >= 0.5")).select("source_id", "via", "target_id")
+
+
+@query("story_components", """WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM ev_link WHERE relation = 'same-event' UNION SELECT target_id, source_id FROM ev_link WHERE relation = 'same-event'),
+  r(id, o) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a) SELECT id, MIN(o) AS root FROM r GROUP BY id""")
+def story_components(v):
+    return op.components(v.ev_link.filter("relation = 'same-event'"), "source_id", "target_id")
+
+
+_ADJ = f"""ed AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM news a JOIN news b ON a.doc_id <> b.doc_id AND abs(a.t_us-b.t_us) <= {48*H} WHERE {KM} <= 200), adj AS (SELECT x, list(y) AS ys FROM ed GROUP BY x),
+  nd AS MATERIALIZED (SELECT doc_id, COALESCE(ys, []) AS ys, ROW_NUMBER() OVER (ORDER BY significance DESC, doc_id) AS i FROM news LEFT JOIN adj ON x = doc_id)"""
+
+
+@query("mis_generic", f"WITH RECURSIVE {_ADJ}, w(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, n.ys) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM w JOIN nd n ON n.i = w.i + 1) SELECT unnest(kept) AS doc_id FROM w WHERE i = (SELECT MAX(i) FROM w)")
+def mis_generic(v):
+    """News by significance, each kept unless a kept one is near in place and time."""
+    nodes = v.news.select("id", "doc_id", F.struct((-c("significance")).alias("neg"), c("doc_id").alias("doc_id")).alias("prio"))
+    near = pairs.strict_news_news(v.news).select(c("id_a").alias("a"), c("id_b").alias("b"))
+    return op.greedy_independent(nodes, near).select("doc_id")
+
+
+_URLS = "ur AS (SELECT doc_id, ['u' || (doc_id*7)%700, 'v' || (doc_id*11)%900] AS urls, ROW_NUMBER() OVER (ORDER BY doc_id) AS i FROM documents)"
+
+
+@query("url_dedup", f"WITH RECURSIVE {_URLS}, w(i, seen, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) UNION ALL SELECT n.i, CASE WHEN list_has_any(w.seen, n.urls) THEN w.seen ELSE list_concat(w.seen, n.urls) END, CASE WHEN list_has_any(w.seen, n.urls) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM w JOIN ur n ON n.i = w.i + 1) SELECT unnest(kept) AS doc_id FROM w WHERE i = (SELECT MAX(i) FROM w)")
+def url_dedup(v):
+    key = c("doc_id")
+    urls = F.array(F.concat(F.lit("u"), (key * 7 % 700).cast("string")), F.concat(F.lit("v"), (key * 11 % 900).cast("string")))
+    return op.url_dedup(v.documents.select(key.alias("id"), key.alias("prio"), urls.alias("urls"))).select(c("id").alias("doc_id"))
+
+
+_SCORED = f"sc AS (SELECT id, lat, lng, ROUND(0.3*{_COORD} + 0.2*significance/100, 6) AS score FROM ev)"
+_ANG = lambda p: f"degrees(acos(GREATEST(-1, LEAST(1, cos(radians(s.lat))*cos(radians(s.lng))*cos(radians({p}.lat))*cos(radians({p}.lng)) + cos(radians(s.lat))*sin(radians(s.lng))*cos(radians({p}.lat))*sin(radians({p}.lng)) + sin(radians(s.lat))*sin(radians({p}.lat))))))"
+_PINS = ", ".join(
+    f"p{k} AS (SELECT s.id, s.lat, s.lng, s.score, {k} AS pick FROM sc s" + "".join(f" JOIN p{j} ON {_ANG(f'p{j}')} >= 30" for j in range(1, k)) + " ORDER BY s.score DESC, s.id LIMIT 1)" for k in range(1, 11))
+
+
+@query("pin_spread", f"WITH {_SCORED}, {_PINS} " + " UNION ALL ".join(f"SELECT id, pick FROM p{k}" for k in range(1, 11)))
+def pin_spread(v):
+    score = F.round(0.3 * M.coord_score(nearest_spot()) + 0.2 * c("significance") / 100, 6)
+    return op.pin_spread(v.ev.select("id", "lat", "lng", score.alias("score")), 10, 30.0).select("id", "pick")
+
+
+@query("pin_clusters")
+def pin_clusters(v):
+    """Pins on a flat map of 4 pixels per degree, most significant first."""
+    pins = v.ev.select("id", F.struct((-c("significance")).alias("neg"), c("event_id").alias("key")).alias("prio"), ((c("lng") + 180) * 4).alias("x"), ((90 - c("lat")) * 4).alias("y"), "lat", "lng")
+    return op.pin_clusters(pins, 28.0).select("id", "leader", "colocated")
+
+
+_MERGE = f"""cd AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.significance AS sa, b.significance AS sb, ROW_NUMBER() OVER (ORDER BY a.doc_id, b.doc_id) AS i FROM news a JOIN news b ON a.doc_id < b.doc_id AND abs(a.t_us-b.t_us) <= {24*H}
+   WHERE {KM} < 200 AND (a.doc_id + b.doc_id) % 3 <> 0)"""
+
+
+@query("canonical_merge", f"""WITH RECURSIVE {_MERGE}, w(i, dups, tos) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+   SELECT n.i, CASE WHEN list_contains(w.dups, n.a) OR list_contains(w.dups, n.b) THEN w.dups ELSE list_append(w.dups, CASE WHEN n.sa >= n.sb THEN n.b ELSE n.a END) END,
+    CASE WHEN list_contains(w.dups, n.a) OR list_contains(w.dups, n.b) THEN w.tos ELSE list_append(w.tos, CASE WHEN n.sa >= n.sb THEN n.a ELSE n.b END) END FROM w JOIN cd n ON n.i = w.i + 1),
+  m AS (SELECT unnest(dups) AS id, unnest(tos) AS canonical_id FROM w WHERE i = (SELECT MAX(i) FROM w)) SELECT news.id, m.canonical_id FROM news LEFT JOIN m USING (id)""")
+def canonical_merge(v):
+    """Near duplicates, with two of three pairs confirmed by key (the confirmation is outside)."""
+    keys = v.news.select("id", "doc_id")
+    near = pairs.near_pairs(v.news.select("id", "lat", "lng", "t_us"), 200.0, 24).filter("km < 200").select("id_a", "id_b")
+    both = near.join(keys.toDF("id_a", "da"), "id_a").join(keys.toDF("id_b", "db"), "id_b").filter("(da + db) % 3 <> 0")
+    swap = c("da") > c("db")
+    verified = both.select(F.when(swap, c("id_b")).otherwise(c("id_a")).alias("a"), F.when(swap, c("id_a")).otherwise(c("id_b")).alias("b"),
+                           F.struct(F.least("da", "db").alias("p"), F.greatest("da", "db").alias("q")).alias("ord"))
+    return op.canonical_merge(v.news.select("id", "significance"), verified)
+
+
+@query("merge_links", "SELECT id, CASE WHEN event_id%2=0 THEN 'a' || event_id%5 || ',b' || event_id%3 || ',x' ELSE 'a' || event_id%5 || ',x' || CASE WHEN event_id%5 <> event_id%7 THEN ',a' || event_id%7 ELSE '' END END AS urls FROM ev")
+def merge_links(v):
+    from ..functions.arrays import merge_links as merge
+    link = lambda p, m: F.struct(F.concat(F.lit(p), (c("event_id") % m).cast("string")).alias("url"), F.lit("s").alias("source"), F.lit("l").alias("label"))
+    fixed = lambda u: F.struct(F.lit(u).alias("url"), F.lit("s").alias("source"), F.lit("l").alias("label"))
+    even = c("event_id") % 2 == 0
+    first = F.when(even, F.array(link("a", 5), link("b", 3))).otherwise(F.array(link("a", 5), fixed("")))
+    second = F.when(even, F.array(fixed("x"), link("a", 5))).otherwise(F.array(fixed("x"), link("a", 7)))
+    return v.ev.select("id", F.array_join(F.transform(merge(first, second), lambda x: x["url"]), ",").alias("urls"))
+
+
+@query("union_sources", "SELECT id, source, NULL::VARCHAR AS publisher_id, value FROM ev UNION ALL SELECT id, source, publisher_id, NULL FROM news")
+def union_sources(v):
+    return dd.union_sources(v.ev.select("id", "source", "value"), v.news.select("id", "source", "publisher_id"))
+
+
+@query("append_new", "SELECT id, 'old' AS origin FROM ev WHERE event_id % 3 <> 0 UNION ALL SELECT id, 'new' FROM ev WHERE event_id % 3 = 0 AND canonical_id IS NULL")
+def append_new(v):
+    old = v.ev.filter("event_id % 3 <> 0").select("id", F.lit("old").alias("origin"))
+    incoming = v.ev.filter("event_id % 2 = 0 OR event_id % 3 = 0").filter("canonical_id is null").select("id", F.lit("new").alias("origin"))
+    return dd.append_new(old, incoming, "id")
+
+
+@query("ordered_distinct", "WITH f AS (SELECT user_id, event_type, MIN(event_id) AS first_at FROM ev GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY first_at) AS kinds FROM f GROUP BY user_id")
+def ordered_distinct(v):
+    return dd.ordered_distinct(v.ev, "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+@query("last_wins", "SELECT user_id, layer_id, arg_max(id, event_id) AS id, arg_max(value, event_id) AS value FROM ev GROUP BY ALL")
+def last_wins(v):
+    return dd.last_wins(v.ev.select("user_id", "layer_id", "id", "value", "event_id"), ["user_id", "layer_id"], c("event_id")).select("user_id", "layer_id", "id", "value")
+
+
+@query("new_items", "SELECT item_id FROM feed_item WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def new_items(v):
+    known = v.labels.select(F.concat(F.lit("item:"), c("doc_id").cast("string")).alias("item_id"))
+    return dd.unseen(v.feed_item, known, "item_id").select("item_id")

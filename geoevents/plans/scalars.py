@@ -277,11 +277,11 @@ INTENSITY_SQL = f"""CASE layer_id WHEN 'earthquake' THEN CASE WHEN magnitude IS
 
 
 @query("hazard_intensity", f"""WITH h AS (SELECT id, layer_id, alert_level, CASE WHEN event_id%3<>0 THEN value/60.0 END AS magnitude, CASE WHEN event_id%3=1 THEN value/4.0 END AS max_frp, CASE WHEN event_id%3=2 THEN value/2.0 END AS max_wind_kmh FROM ev)
-  SELECT id, layer_id, ROUND({INTENSITY_SQL}, 6)::DOUBLE AS intensity FROM h""")
+  SELECT id, layer_id, ROUND({INTENSITY_SQL}, 7)::DOUBLE AS intensity FROM h""")
 def hazard_intensity(v):
     key, value = c("event_id"), c("value")
     level = M.hazard_intensity(c("layer_id"), F.when(key % 3 != 0, value / 60.0), F.when(key % 3 == 1, value / 4.0), F.when(key % 3 == 2, value / 2.0), c("alert_level"))
-    return v.ev.select("id", "layer_id", F.round(level, 6).alias("intensity"))
+    return v.ev.select("id", "layer_id", F.round(level, 7).alias("intensity"))
 
 
 @query("impact_class", """WITH s AS (SELECT id, event_id*37 AS people, 100.0*LEAST(1.0, value/100)*GREATEST(0, LEAST(1.0, log10(event_id*37+1.0)/log10(5000000.0))) AS score FROM ev)
