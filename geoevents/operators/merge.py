@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,8 @@ def status_machine(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     decided = locality(F.col("about"), F.col("country"))
     moved = F.when(decided["is_local"], F.lit("ingested")).otherwise(F.lit("rejected"))
     due = (F.col("status") == "pending") & F.col("_answered").isNotNull()
-    return joined.withColumn("status", F.when(due, moved).otherwise(F.col("status"))).withColumn("reason", F.when(due, decided["reason"])).drop("_answered", "about")
+    # Both columns are set at once, from the status before.
+    return joined.withColumns({"status": F.when(due, moved).otherwise(F.col("status")), "reason": F.when(due, decided["reason"])}).drop("_answered", "about")
 
 
 def retention(events: DataFrame, as_of: Column, cutoff: Column, window: str) -> DataFrame:
@@ -127,11 +129,12 @@ def write_version(rows: DataFrame, root: str, meta: dict | None = None) -> int:
 
 def current_version(spark: SparkSession, root: str) -> dict | None:
     """Number and notes of the newest complete version."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        pointer = spark.read.schema("version int, meta string").json(f"{root}/_pointer")
+    except AnalysisException:
         return None
     # One row per version written.
-    row = spark.read.schema("version int, meta string").json(f"{root}/_pointer").orderBy(F.desc("version")).first()
+    row = pointer.orderBy(F.desc("version")).first()
     return {"version": row["version"], **json.loads(row["meta"])} if row else None
 
 

@@ -1 +1,146 @@
-"""Plans."""
+"""Feed normalisers over raw rows derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import feeds as src
+from .adapter import AS_OF
+from .registry import query
+
+c = F.col
+key = lambda: c("event_id")
+text = lambda col: col.cast("string")
+UTC = lambda: F.lit(AS_OF).cast("timestamp")
+NTZ = lambda name: c(name).cast("timestamp_ntz").alias(name)
+
+
+@query("quake_features", """SELECT 'usgs:us' || event_id AS event_id, CASE WHEN event_id%4=0 THEN 'M ' || value ELSE title END AS title, epoch_ms(t_us // 1000) AS occurred_at, CASE WHEN event_id%6=0 THEN NULL ELSE -CAST(event_id%700 AS DOUBLE)*1000 END AS alt_m,
+  CASE WHEN event_id%3=0 THEN ROUND(value*10, 3) ELSE CAST(event_id%900 AS DOUBLE) END::DOUBLE AS significance, CASE WHEN location IS NULL THEN '' ELSE 'place:' || location END AS entities, event_id%10=0 AS tsunami FROM ev WHERE event_id%7<>0""")
+def quake_features(v):
+    e = v.ev
+    collection = F.to_json(F.struct(F.array(F.struct(
+        F.concat(F.lit("us"), text(key())).alias("id"),
+        F.struct(c("value").alias("mag"), c("location").alias("place"), F.floor(c("t_us") / 1000).alias("time"), F.when(key() % 4 != 0, c("title")).alias("title"),
+                 F.when(key() % 3 != 0, (key() % 900).cast("double")).alias("sig"), F.when(key() % 10 == 0, 1).otherwise(0).alias("tsunami")).alias("properties"),
+        F.struct(F.when(key() % 7 == 0, F.array(F.lit(None).cast("double"))).when(key() % 6 == 0, F.array("lng", "lat")).otherwise(F.array(c("lng"), c("lat"), (key() % 700).cast("double"))).alias("coordinates")).alias("geometry"))).alias("features")))
+    features = e.select(F.from_json(collection, src.QUAKE_SCHEMA).alias("doc")).select(F.inline("doc.features"))
+    out = src.quake_events(features)
+    return out.select("event_id", "title", NTZ("occurred_at"), "alt_m", F.round("significance", 3).alias("significance"), F.array_join(F.transform("entities", lambda t: F.concat_ws(":", t["type"], t["text"])), ";").alias("entities"), c("detail.tsunami").alias("tsunami"))
+
+
+_KIND = "CASE event_id%7 WHEN 0 THEN 'EQ' WHEN 1 THEN 'TC' WHEN 2 THEN 'FL' WHEN 3 THEN 'VO' WHEN 4 THEN 'DR' WHEN 5 THEN 'WF' ELSE 'XX' END"
+
+
+@query("alert_features", f"""WITH a AS (SELECT *, {_KIND} AS k, CASE event_id%4 WHEN 0 THEN 'M' WHEN 1 THEN 'km/h' WHEN 2 THEN '' ELSE 'ha' END AS unit FROM ev WHERE event_id%7 <> 6)
+  SELECT 'gdacs:' || k || ':' || event_id || ':' || CASE WHEN event_id%2=0 THEN event_id%5 ELSE 0 END AS event_id, CASE k WHEN 'EQ' THEN 'earthquake' WHEN 'TC' THEN 'cyclone' WHEN 'FL' THEN 'flood' WHEN 'VO' THEN 'volcano' WHEN 'DR' THEN 'drought' ELSE 'wildfire' END AS category,
+   CASE lower(alert_level) WHEN 'red' THEN 90.0 WHEN 'orange' THEN 70.0 WHEN 'green' THEN 40.0 ELSE LEAST(100.0, ROUND(value/60*30, 4)) END::DOUBLE AS significance, CASE WHEN event_id%3=0 THEN 'FRA' ELSE country_iso3 END AS country_iso3,
+   CASE WHEN event_id%9=0 THEN ROUND(value/60, 4) ELSE value END::DOUBLE AS weight, CASE WHEN event_id%9<>0 AND k='EQ' AND (unit IN ('M','') OR unit='km/h') THEN value END AS magnitude, CASE WHEN event_id%9<>0 AND k='TC' AND unit='km/h' THEN value END AS max_wind_kmh, CASE WHEN event_id%2=0 THEN 'https://r.example/' || event_id ELSE 'https://p.example/' || event_id END AS info_url FROM a""")
+def alert_features(v):
+    unit = F.get(F.array(*[F.lit(u) for u in ("M", "km/h", "", "ha")]), (key() % 4).cast("int"))
+    severity = F.when(key() % 9 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(c("value").alias("severity"), unit.alias("severityunit"), c("title").alias("severitytext"))))
+    point = key() % 2 == 0
+    props = F.struct(
+        F.lower(F.expr(_KIND)).alias("eventtype"), key().alias("eventid"), F.when(point, key() % 5).alias("episodeid"), c("title").alias("name"), F.lit(None).cast("string").alias("htmldescription"), c("alert_level").alias("alertlevel"),
+        text(c("value") / 60).alias("alertscore"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss").alias("fromdate"), F.lit("").alias("todate"), F.when(key() % 3 == 0, F.lit('[{"iso3":"fra"}]')).otherwise(c("country_iso3")).alias("iso3"),
+        F.when(point, F.concat(F.lit('{"report":"https://r.example/'), text(key()), F.lit('"}'))).otherwise(F.concat(F.lit("https://p.example/"), text(key()))).alias("url"), F.lit(None).cast("string").alias("link"), severity.alias("severitydata"), F.lit("12").alias("population"),
+        *[F.lit(None).cast("string").alias(n) for n in ("affectedpopulation", "glide", "country", "longitude")], text(c("lng")).alias("lon"), F.lit("").alias("latitude"), text(c("lat")).alias("lat"))
+    shape = F.when(point, F.lit("Point")).otherwise(F.lit("Polygon"))
+    features = v.ev.select(props.alias("properties"), F.struct(shape.alias("type"), F.to_json(F.array("lng", "lat")).alias("coordinates")).alias("geometry"))
+    out = src.alert_events(features, UTC())
+    return out.select("event_id", "category", F.round("significance", 4).alias("significance"), "country_iso3", F.round("weight", 4).alias("weight"), c("detail.magnitude").alias("magnitude"), c("detail.max_wind_kmh").alias("max_wind_kmh"), "info_url")
+
+
+@query("hotspot_rows", """SELECT 'firms:N:' || strftime(occurred_at, '%Y-%m-%d:%H%M') || ':' || printf('%.4f', lat) || ':' || printf('%.4f', lng) AS hotspot_id, date_trunc('minute', occurred_at) AS acq_at, CASE WHEN event_id%4=0 THEN NULL ELSE value END AS frp FROM ev WHERE event_id%11 <> 0 AND event_id%13 <> 0""")
+def hotspot_rows(v):
+    # Feeds write the time without leading zeros.
+    clock = F.regexp_replace(F.date_format("occurred_at", "HHmm"), "^0{1,3}", "")
+    rows = v.ev.select(text(c("lat")).alias("latitude"), F.when(key() % 11 == 0, F.lit("")).otherwise(text(c("lng"))).alias("longitude"), F.lit("300").alias("bright_ti4"),
+                       F.when(key() % 13 == 0, F.lit("soon")).otherwise(F.date_format("occurred_at", "yyyy-MM-dd")).alias("acq_date"), clock.alias("acq_time"), F.lit("N").alias("satellite"), F.lit("n").alias("confidence"), F.when(key() % 4 != 0, text(c("value"))).alias("frp"), F.lit("D").alias("daynight"))
+    return src.hotspots(rows).select("hotspot_id", NTZ("acq_at"), "frp")
+
+
+_TYPES = ["Battles", "Explosions/Remote violence", "Violence against civilians", "Riots", "Protests", "Strategic developments", "Other"]
+
+
+@query("conflict_rows", """WITH a AS (SELECT *, event_id%7 AS t, event_id%9 AS f FROM ev WHERE event_id%7 <> 6) SELECT 'acled:T' || event_id AS event_id, CASE WHEN t < 4 THEN 'conflict' WHEN t = 4 THEN 'protest' ELSE 'strategic_development' END AS category,
+  event_type || CASE WHEN location IS NULL AND country_iso3 IS NULL THEN '' ELSE ' in ' || concat_ws(', ', location, country_iso3) END AS title, LEAST(100.0, 55 + LEAST(30, f*5) + CASE WHEN event_id%4=1 THEN 15 ELSE 0 END)::DOUBLE AS significance, CAST(f AS DOUBLE) AS weight,
+  CASE event_id%4 WHEN 2 THEN 'city' WHEN 3 THEN 'region' ELSE 'point' END AS geo_precision, CASE WHEN t = 4 THEN 'about ' || user_id END AS crowd_size,
+  concat_ws(',', CASE t WHEN 0 THEN 'Battles' WHEN 1 THEN 'Explosions/Remote violence' WHEN 2 THEN 'Violence against civilians' WHEN 3 THEN 'Riots' WHEN 4 THEN 'Protests' ELSE 'Strategic developments' END, event_type, 'crowd size=about ' || user_id, 'local', CASE WHEN f > 0 THEN 'fatalities' END, CASE WHEN event_id%4=1 THEN 'civilian_targeting' END) AS tags FROM a""")
+def conflict_rows(v):
+    kind = F.get(F.array(*[F.lit(t) for t in _TYPES]), (key() % 7).cast("int"))
+    rows = v.ev.select(F.concat(F.lit("T"), text(key())).alias("event_id_cnty"), F.date_format("occurred_at", "yyyy-MM-dd").alias("event_date"), kind.alias("event_type"), c("event_type").alias("sub_event_type"), F.lit("").alias("disorder_type"),
+                       c("source").alias("actor1"), F.lit(" ").alias("actor2"), text(c("lat")).alias("latitude"), text(c("lng")).alias("longitude"), text(key() % 4).alias("geo_precision"), text(key() % 9).alias("fatalities"), c("title").alias("notes"),
+                       F.concat(F.lit("crowd size=about "), text(c("user_id")), F.lit("; local;local ")).alias("tags"), c("country_iso3").alias("country"), "location", F.when(key() % 4 == 1, F.lit("Civilian targeting")).otherwise(F.lit("")).alias("civilian_targeting"))
+    out = src.conflict_events(rows)
+    return out.select("event_id", "category", "title", "significance", "weight", "geo_precision", c("detail.crowd_size").alias("crowd_size"), F.array_join(F.transform("tags", lambda t: t["tag"]), ",").alias("tags"))
+
+
+_CODED = ["conflict", "protest", "terror", "politics", "crime", "weather"]
+
+
+@query("coded_rows", """SELECT 'conflict-csv:https://e.example/' || event_id AS event_id, CASE event_id%6 WHEN 0 THEN 'conflict' WHEN 1 THEN 'protest' WHEN 2 THEN 'terror' WHEN 3 THEN 'politics' ELSE 'crime' END AS category, date_trunc('day', occurred_at) AS occurred_at,
+  CASE WHEN event_id%4=1 THEN 'city' ELSE 'region' END AS geo_precision, ROUND(LEAST(100.0, 55 + abs(event_id%21 - 10)*4.5), 3)::DOUBLE AS significance, CASE WHEN event_id%6 < 2 THEN event_type END AS actor1, CASE WHEN event_id%3=0 THEN 0.0 ELSE CAST(event_id%50 AS DOUBLE) END::DOUBLE AS weight FROM ev WHERE event_id%6 <> 5 AND event_id%17 <> 0""")
+def coded_rows(v):
+    kind = F.get(F.array(*[F.lit(t) for t in _CODED]), (key() % 6).cast("int"))
+    rows = v.ev.select(F.date_format("occurred_at", "yyyyMMdd").alias("SQLDATE"), c("event_type").alias("Actor1Name"), F.lit("").alias("Actor2Name"), F.lit("190").alias("EventCode"), c("location").alias("ActionGeo_FullName"), text(c("lat")).alias("ActionGeo_Lat"),
+                       F.when(key() % 17 == 0, F.lit("")).otherwise(text(c("lng"))).alias("ActionGeo_Long"), text(key() % 21 - 10).alias("GoldsteinScale"), F.when(key() % 3 == 0, F.lit("many")).otherwise(text(key() % 50)).alias("NumArticles"),
+                       F.concat(F.lit("https://e.example/"), text(key())).alias("SOURCEURL"), "title", F.lit("").alias("description"), kind.alias("category"))
+    out = src.coded_events(rows)
+    return out.select("event_id", "category", NTZ("occurred_at"), "geo_precision", F.round("significance", 3).alias("significance"), c("detail.actor1").alias("actor1"), "weight")
+
+
+@query("article_rows", f"""SELECT 'gnews:' || substr(sha1(CASE WHEN doc_id%3=0 THEN title ELSE 'https://n.example/' || doc_id END), 1, 12) AS id, CASE WHEN doc_id%3=0 THEN 0 ELSE 1 END AS n_links, CASE WHEN doc_id%4=0 THEN 'sports' ELSE 'news' END AS layer_id,
+  CASE WHEN doc_id%5=0 THEN TIMESTAMP '{AS_OF}' ELSE occurred_at END AS occurred_at FROM news""")
+def article_rows(v):
+    k = c("doc_id")
+    articles = v.news.select("title", F.lit("").alias("description"), F.when(k % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("https://n.example/"), text(k))).alias("url"), F.lit(" ").alias("image"),
+                             F.when(k % 5 == 0, F.lit("now")).otherwise(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("publishedAt"), F.struct(c("publisher_id").alias("name")).alias("source"), F.when(k % 4 == 0, src.layer_of_news_category(F.lit("sports"))).alias("_layerId"))
+    return src.article_events(articles, UTC()).select("id", F.size("links").cast("bigint").alias("n_links"), "layer_id", NTZ("occurred_at"))
+
+
+@query("story_rows", r"""WITH s AS (SELECT doc_id, trim(regexp_replace('x <b>' || text || '</b>', '<[^>]+>', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM s),
+  q AS (SELECT doc_id, t, CASE WHEN trim(regexp_extract(t, '^([^.!?]+[.!?])', 1)) <> '' THEN trim(regexp_extract(t, '^([^.!?]+[.!?])', 1)) ELSE substring(t, 1, 120) END AS title FROM p)
+  SELECT 'wikifeeds:' || substr(sha1(title), 1, 12) AS id, title, CASE WHEN doc_id%2=0 THEN 1 ELSE 0 END AS n_links, CASE WHEN doc_id%3=0 THEN 'https://t.example/' || doc_id END AS image_url FROM q""")
+def story_rows(v):
+    k = c("doc_id")
+    null = F.lit(None).cast("string")
+    page = F.struct(F.lit("Page").alias("title"), F.struct(F.lit("Page name").alias("normalized")).alias("titles"), F.struct(F.when(k % 3 == 0, F.concat(F.lit("https://t.example/"), text(k))).alias("source")).alias("thumbnail"),
+                    F.struct(F.struct(F.when(k % 2 == 0, F.lit("https://w.example/p")).alias("page")).alias("desktop")).alias("content_urls"))
+    raw = F.concat(F.lit("x <b>"), c("text"), F.lit("</b>"))
+    # Half of the days have current events, the others only anniversaries.
+    news = F.when(k % 4 < 2, F.array(F.struct(raw.alias("story"), null.alias("text"), F.array(page).alias("links"))))
+    past = F.array(F.struct(raw.alias("text"), null.alias("story"), F.array(page).alias("pages")))
+    days = v.documents.select(F.lit("2024-01-05").alias("wiki_date"), news.alias("news"), past.alias("onthisday"))
+    return src.story_events(days).select("id", "title", F.size("links").cast("bigint").alias("n_links"), "image_url")
+
+
+@query("feed_item_rows", r"""WITH u AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+  k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(string_split(p, '=')[1], '(?i)^(utm_|ref$)')), '&') AS kept FROM u),
+  w AS (SELECT page_id, scheme || '://' || host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url, trim(regexp_replace(replace(replace(raw_title, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM k)
+  SELECT sha1(url) AS item_id, url, title, CASE WHEN title = '' THEN 'no link/title' WHEN page_id%5=0 THEN 'outside window' WHEN page_id%7=0 THEN NULL END AS dropped FROM w""")
+def feed_item_rows(v):
+    k = c("page_id")
+    media = F.array().cast("array<struct<url:string,medium:string,type:string>>")
+    links = F.array().cast("array<struct<rel:string,type:string,href:string>>")
+    at = F.when(k % 5 == 0, F.lit("2024-01-20 00:00:00")).when(k % 7 != 0, F.lit("2024-01-30 12:00:00")).cast("timestamp_ntz")
+    entries = v.pages.select(c("url").alias("link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("").alias("summary"), at.alias("published_at"), media.alias("media"), links.alias("enclosures"),
+                             F.lit("en-GB").alias("language"), F.lit("f").alias("feed_url"), F.lit("p").alias("publisher_id"), F.lit("AAA").alias("country"))
+    return src.feed_items(entries, v.as_of).select("item_id", "url", "title", "dropped")
+
+
+@query("opml_outlines", "SELECT CASE WHEN page_id%2=0 THEN 'A & B ' || page_id ELSE 'Text' END AS title, url AS feed_url FROM pages WHERE page_id%3 <> 0")
+def opml_outlines(v):
+    k = c("page_id")
+    name = F.when(k % 2 == 0, F.concat(F.lit('title="A &amp; B '), text(k), F.lit('" text="x"'))).otherwise(F.lit('text="Text"'))
+    feed = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' xmlUrl="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"')))
+    return src.outlines(v.pages.select(F.concat(F.lit('<opml><body><outline text="group"><outline '), name, feed, F.lit("/></body>")).alias("value")))
+
+
+@query("fixed_width_catalog", """SELECT (event_id%24*15.0 + 7.5)::DOUBLE AS ra_deg, ROUND((CASE WHEN event_id%2=0 THEN -1 ELSE 1 END) * (event_id%80 + 0.25), 2)::DOUBLE AS dec_deg, ROUND(event_id%9 + 0.5, 2)::DOUBLE AS vmag, CASE WHEN event_id%3=0 THEN 0.6 ELSE 1.25 END::DOUBLE AS bv FROM ev WHERE event_id%5 <> 0""")
+def fixed_width_catalog(v):
+    two = lambda col: F.lpad(text(col), 2, "0")
+    ra = F.when(key() % 5 == 0, F.lit("        ")).otherwise(F.concat(two(key() % 24), F.lit("3000.0")))
+    line = F.concat(F.lpad(F.lit(""), 75, " "), ra, F.when(key() % 2 == 0, F.lit("-")).otherwise(F.lit("+")), two(key() % 80), F.lit("1500"), F.lpad(F.lit(""), 12, " "), F.lpad(F.concat(text(key() % 9), F.lit(".50")), 5, " "),
+                    F.lit("  "), F.when(key() % 3 == 0, F.lit("     ")).otherwise(F.lit("+1.25")))
+    return src.catalog_stars(v.ev.select(line.alias("value")))
