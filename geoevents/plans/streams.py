@@ -1 +1,126 @@
-"""Plans."""
+"""Streaming jobs over the given events as landed files; each equals its batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import merge
+from ..operators.personal import signal_weights
+from ..streaming import jobs
+from .adapter import AS_OF, VIEWS, _pick, _render
+from .filters import CELL
+from .pairs import KM
+from .personal import SIGNALS
+from .registry import query
+
+c = F.col
+UTC = lambda text: F.lit(text).cast("timestamp")
+
+
+def stream_of(v, view: str, table: str):
+    """A view over one given table, read as a stream of files. Times become timestamps with a zone, as watermarks need."""
+    source = jobs.read_files(v.spark, v.sf_dir, v.table(table).schema, f"{table}.parquet")
+    name = f"stream_{view}_{table}"
+    source.createOrReplaceTempView(name)
+    text = _render(VIEWS[view], False).replace(f"FROM {table}", f"FROM {name}")
+    return v.spark.sql(text)
+
+
+def events_stream(v):
+    return stream_of(v, "ev", "events").withColumn("ts", c("occurred_at").cast("timestamp"))
+
+
+@query("stream_upsert", "SELECT user_id, layer_id, arg_max(id, event_id) AS id, arg_max(value, event_id) AS value FROM ev GROUP BY ALL")
+def stream_upsert(v):
+    out, checkpoint = jobs.places_for(v.spark, "upsert")
+    jobs.upsert_stream(events_stream(v).select("user_id", "layer_id", "id", "value", "event_id"), out, checkpoint, ["user_id", "layer_id"], "event_id")
+    return merge.read_version(v.spark, out).select("user_id", "layer_id", "id", "value")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM ev")
+def stream_dedup(v):
+    out, checkpoint = jobs.places_for(v.spark, "dedup")
+    jobs.unique_items(events_stream(v).select("user_id", "event_type", "ts"), ["user_id", "event_type"], out, checkpoint)
+    return v.spark.read.parquet(out)
+
+
+@query("stream_late_data", "SELECT CASE WHEN occurred_at > TIMESTAMP '2024-01-20 02:00:00' THEN 'future' WHEN occurred_at < TIMESTAMP '2024-01-10 00:00:00' THEN 'late' ELSE 'kept' END AS verdict, COUNT(*) AS n FROM ev GROUP BY ALL")
+def stream_late_data(v):
+    out, checkpoint = jobs.places_for(v.spark, "late")
+    jobs.window_tally(events_stream(v), out, checkpoint, UTC("2024-01-20 00:00:00"), 240)
+    return merge.read_version(v.spark, out)
+
+
+@query("stream_cell_density", "WITH t AS (SELECT date_trunc('day', occurred_at) AS start, round_even(lat, 0) + CAST(0 AS DOUBLE) AS cell_lat, round_even(lng, 0) + CAST(0 AS DOUBLE) AS cell_lng, ROUND(SUM(value), 3) AS weight, COUNT(*) AS n FROM ev GROUP BY ALL) SELECT * FROM t WHERE start + INTERVAL 1 DAY <= (SELECT MAX(occurred_at) - INTERVAL 2 DAY FROM ev)")
+def stream_cell_density(v):
+    """Days that are closed: the last two days before the newest event may still change."""
+    out, checkpoint = jobs.places_for(v.spark, "density")
+    jobs.cell_density_stream(events_stream(v).select("lat", "lng", c("value").alias("weight"), "ts"), out, checkpoint)
+    return v.spark.read.parquet(out).select(c("start").cast("timestamp_ntz").alias("start"), "cell_lat", "cell_lng", F.round("weight", 3).alias("weight"), "n")
+
+
+@query("stream_hotspots", f"SELECT cell_lat, cell_lng, acq_date, COUNT(*) AS hotspot_count, MAX(value) AS max_frp, ROUND(AVG(value), 4) AS mean_frp, MAX(occurred_at) AS occurred_at FROM (SELECT *, {CELL} FROM ev) GROUP BY cell_lat, cell_lng, acq_date HAVING COUNT(*) >= 8 OR MAX(value) >= 20")
+def stream_hotspots(v):
+    out, checkpoint = jobs.places_for(v.spark, "hotspots")
+    jobs.hotspot_stream(events_stream(v).select("lat", "lng", c("occurred_at").alias("acq_at"), c("value").alias("frp")), out, checkpoint)
+    return jobs.clusters_of(merge.read_version(v.spark, out)).withColumn("mean_frp", F.round("mean_frp", 4))
+
+
+def profile_table(v):
+    out, checkpoint = jobs.places_for(v.spark, "profile")
+    jobs.profile_stream(stream_of(v, "actions", "events"), out, checkpoint)
+    return merge.read_version(v.spark, out)
+
+
+@query("stream_profile", """WITH s AS (SELECT user_id, COUNT(DISTINCT event_id) AS saved FROM actions WHERE kind='save' GROUP BY user_id), f AS (SELECT user_id, event_id, arg_max(kind, seq) AS k FROM actions WHERE kind IN ('more','less') GROUP BY ALL),
+  g AS (SELECT user_id, COUNT(*) FILTER (k='more') AS liked, COUNT(*) FILTER (k='less') AS disliked FROM f GROUP BY user_id), i AS (SELECT user_id, LEAST(500, COUNT(*)) AS interactions FROM actions WHERE kind IN ('open','source') GROUP BY user_id)
+  SELECT user_id, COALESCE(saved, 0) AS saved, COALESCE(liked, 0) AS liked, COALESCE(disliked, 0) AS disliked, COALESCE(interactions, 0) AS interactions FROM s FULL JOIN g USING (user_id) FULL JOIN i USING (user_id)""")
+def stream_profile(v):
+    return jobs.profile_summary(profile_table(v))
+
+
+@query("stream_taste_signals", f"WITH {SIGNALS} SELECT user_id, event_id, ROUND(positive, 5)::DOUBLE AS positive, ROUND(negative, 5)::DOUBLE AS negative FROM sg")
+def stream_taste_signals(v):
+    """Signals from the streamed profile; they decay when they are read, not when they arrive."""
+    s = signal_weights(profile_table(v), v.as_of)
+    return s.select("user_id", "event_id", F.round("positive", 5).alias("positive"), F.round("negative", 5).alias("negative"))
+
+
+@query("stream_feed_health", """WITH p AS (SELECT 'feed:' || user_id AS feed_url, event_id AS seq, event_type NOT IN ('error','signup','view') AS ok FROM ev), l AS (SELECT feed_url, MAX(seq) FILTER (ok) AS last_ok FROM p GROUP BY feed_url)
+  SELECT feed_url, COUNT(*) FILTER (NOT ok AND seq > COALESCE(last_ok, -1)) AS error_count, COUNT(*) FILTER (NOT ok AND seq > COALESCE(last_ok, -1)) >= 5 AS paused FROM p JOIN l USING (feed_url) GROUP BY feed_url""")
+def stream_feed_health(v):
+    out, checkpoint = jobs.places_for(v.spark, "health")
+    polls = events_stream(v).select(F.concat(F.lit("feed:"), c("user_id").cast("string")).alias("feed_url"), c("event_id").alias("seq"), (~c("event_type").isin("error", "signup", "view")).alias("ok"))
+    jobs.feed_health_stream(polls, out, checkpoint)
+    return jobs.latest_health(v.spark, out)
+
+
+_REGION = _pick("user_id", ["AFRICA", "AMERICA", "ASIA", "NOWHERE"])
+
+
+@query("stream_enrichment", f"""WITH i AS (SELECT id, 'src' || (user_id%30) AS publisher_id, {_REGION} AS country FROM ev), ct AS (SELECT country, CAST(MIN(length(name)) AS DOUBLE) AS lat FROM publisher GROUP BY country)
+  SELECT id, name, COALESCE(ct.lat, 0.0)::DOUBLE AS lat, 'centroid' AS geo_source FROM i LEFT JOIN publisher p USING (publisher_id) LEFT JOIN ct ON ct.country = i.country""")
+def stream_enrichment(v):
+    out, checkpoint = jobs.places_for(v.spark, "enrich")
+    items = events_stream(v).select("id", F.concat(F.lit("src"), (c("user_id") % 30).cast("string")).alias("publisher_id"), F.expr(_REGION).alias("country"), F.lit("").alias("place"), F.lit("city").alias("specificity"))
+    centroids = v.publisher.groupBy("country").agg(F.min(F.char_length("name")).cast("double").alias("lat"), F.lit(0.0).alias("lng"))
+    gazetteer = v.country_dim.select(c("name").alias("place"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"))
+    jobs.enrich_stream(items, v.publisher, gazetteer, centroids, out, checkpoint)
+    return v.spark.read.parquet(out).select("id", "name", "lat", "geo_source")
+
+
+@query("stream_news_disaster", f"SELECT a.id AS news_id, b.id AS disaster_id, ROUND({KM}, 3) AS km FROM ev a JOIN ev b ON a.source IN ('gnews','wikifeeds') AND b.source IN ('usgs','gdacs','firms') AND a.t_us - b.t_us BETWEEN 0 AND {7*24*3_600_000_000} WHERE {KM} <= 200")
+def stream_news_disaster(v):
+    out, checkpoint = jobs.places_for(v.spark, "links")
+    events = events_stream(v).select("id", "source", "lat", "lng", "ts")
+    jobs.news_disaster_stream(events.filter(c("source").isin("gnews", "wikifeeds")), events_stream(v).select("id", "source", "lat", "lng", "ts").filter(c("source").isin("usgs", "gdacs", "firms")), out, checkpoint, 200.0, 7)
+    return v.spark.read.parquet(out).select("news_id", "disaster_id", F.round("km", 3).alias("km"))
+
+
+@query("stream_retention", f"""WITH a AS (SELECT id, occurred_at, CASE WHEN event_id%4=0 THEN occurred_at + INTERVAL 1 DAY END AS arch FROM ev), m AS (SELECT id, CASE WHEN arch IS NULL AND occurred_at < TIMESTAMP '2024-01-16 00:00:00' THEN TIMESTAMP '{AS_OF}' ELSE arch END AS archived_at FROM a)
+  SELECT * FROM m WHERE archived_at IS NULL OR archived_at >= TIMESTAMP '2024-01-16 00:00:00' - INTERVAL 7 DAY""")
+def stream_retention(v):
+    out, checkpoint = jobs.places_for(v.spark, "retention")
+    events = events_stream(v).select("id", "occurred_at", F.when(c("event_id") % 4 == 0, c("occurred_at") + F.expr("INTERVAL 1 DAY")).alias("archived_at"))
+    jobs.retention_stream(events, out, checkpoint, v.as_of, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), "7 DAYS")
+    return merge.read_version(v.spark, out).select("id", "archived_at")
