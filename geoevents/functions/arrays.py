@@ -22,13 +22,18 @@ def term_list(*pairs: tuple[Column, str, float]) -> Column:
     return F.array_compact(F.array(*[F.when(X.blank_to_null(t).isNotNull(), term(F.trim(t), kind, conf)) for t, kind, conf in pairs]))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, also where the body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_by(items: Column, key) -> Column:
     """Items in order, keeping the first for each key and none with a blank key."""
     def step(acc: Column, item: Column) -> Column:
         seen = F.exists(acc, lambda kept: key(kept) == key(item))
         return F.when(seen | (F.coalesce(key(item), F.lit("")) == ""), acc).otherwise(F.concat(acc, F.array(item)))
 
-    return F.aggregate(items, F.filter(items, lambda _: F.lit(False)), step)
+    return bind(items, lambda all_items: F.aggregate(all_items, F.filter(all_items, lambda _: F.lit(False)), step))
 
 
 def merge_links(first: Column, second: Column) -> Column:
@@ -45,18 +50,20 @@ def ordered_tags(keywords: Column, impacts: Column) -> Column:
 
 def chips(entities: Column, keywords: Column, place: Column, limit: int = 10) -> Column:
     """People, organisations, actors, places and topics of an event, best first, once each."""
+    literal_map = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    kinds = literal_map(CHIP_KIND.items())
+    ranks = literal_map((name, CHIP_ORDER.index(kind)) for name, kind in CHIP_KIND.items())
+
     def classify(t: Column, pos: Column) -> Column:
-        kind = F.lit("topic")
-        for name, target in CHIP_KIND.items():
-            kind = F.when(t["type"] == name, F.lit(target)).otherwise(kind)
-        rank = F.array_position(F.array(*map(F.lit, CHIP_ORDER)), kind)
         weight = F.coalesce(t["relevance"], t["confidence"], F.lit(0.0))
-        return F.struct(rank.alias("rank"), (-weight).alias("neg"), pos.alias("pos"), F.trim(t["text"]).alias("text"), kind.alias("kind"))
+        rank = F.coalesce(F.try_element_at(ranks, t["type"]), F.lit(CHIP_ORDER.index("topic")))
+        return F.struct(rank.alias("rank"), (-weight).alias("neg"), pos.alias("pos"), F.trim(t["text"]).alias("text"), F.lower(F.trim(t["text"])).alias("low"),
+                        F.coalesce(F.try_element_at(kinds, t["type"]), F.lit("topic")).alias("kind"))
 
     terms = F.transform(F.concat(entities, keywords), classify)
-    usable = F.filter(terms, lambda t: (t["text"] != "") & ~F.lower(t["text"]).eqNullSafe(F.lower(place)))
+    usable = bind(F.lower(place), lambda p: F.filter(terms, lambda t: (t["low"] != "") & ~t["low"].eqNullSafe(p)))
     # Struct order is rank, weight, position: the order of a stable sort.
-    once = first_by(F.array_sort(usable), lambda t: F.lower(t["text"]))
+    once = first_by(F.array_sort(usable), lambda t: t["low"])
     show = lambda t: F.struct(F.when(t["kind"] == "actor", X.title_case(t["text"])).otherwise(t["text"]).alias("text"), t["kind"].alias("kind"))
     return F.transform(F.slice(once, 1, limit), show)
 

@@ -164,21 +164,32 @@ def mentioned_hazards(text: Column) -> Column:
     return F.array_compact(F.array(*named))
 
 
-def keyword_score(title: Column, terms: Column, keywords: Column) -> Column:
-    """Share of the user's keywords found: phrase 1, any single word 0.5; neutral 0.5 without keywords."""
-    tokens = F.array_distinct(F.filter(
-        F.split(F.lower(F.concat_ws(" ", title, F.array_join(terms, " "))), r"\s+"), lambda t: t != ""))
-    full = F.array_join(F.array_sort(tokens), " ")
+def search_words(title: Column, terms: Column) -> Column:
+    """Distinct lower-case words of the title and terms, sorted."""
+    words_of = F.split(F.lower(F.concat_ws(" ", title, F.array_join(terms, " "))), r"\s+")
+    return F.array_sort(F.array_distinct(F.filter(words_of, lambda t: t != "")))
+
 
-    def hit(keyword: Column) -> Column:
-        low = F.lower(keyword)
-        return (F.when(F.contains(full, low), 1.0)
-                .when(F.arrays_overlap(tokens, F.split(F.trim(low), r"\s+")), 0.5).otherwise(0.0))
+def keyword_hits(tokens: Column, full: Column, keywords: Column) -> Column:
+    """Share of the keywords found in prepared text: phrase 1, any single word 0.5; neutral 0.5 without keywords.
 
+    keywords: array of lower-case struct(phrase, parts); tokens as from ``search_words``, full is their text.
+    """
+    hit = lambda k: F.when(F.contains(full, k["phrase"]), 1.0).when(F.arrays_overlap(tokens, k["parts"]), 0.5).otherwise(0.0)
     total = F.aggregate(keywords, F.lit(0.0), lambda acc, k: acc + hit(k))
     return F.when(F.size(keywords) > 0, F.least(F.lit(1.0), total / F.size(keywords))).otherwise(F.lit(0.5))
 
 
+def prepared_keywords(keywords: Column) -> Column:
+    return F.transform(keywords, lambda k: F.struct(F.lower(k).alias("phrase"), F.split(F.trim(F.lower(k)), r"\s+").alias("parts")))
+
+
+def keyword_score(title: Column, terms: Column, keywords: Column) -> Column:
+    """Share of the user's keywords found in an event's words."""
+    score = lambda tokens: keyword_hits(tokens, F.array_join(tokens, " "), prepared_keywords(keywords))
+    return F.get(F.transform(F.array(search_words(title, terms)), score), 0)
+
+
 def disaster_overlap(terms: Column, category: Column) -> Column:
     """Keywords that contain, or are contained in, a word of the hazard; three matches make 1."""
     def matches(names: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as Y
@@ -86,30 +86,36 @@ def centered(vectors: DataFrame, sample: DataFrame) -> DataFrame:
     return shifted.select("key", Y.unit(moved).alias("vector")).filter("vector is not null")
 
 
-def interest_matches(catalogue: list[tuple], layer: Column, haystack: Column, lat: Column, lng: Column) -> Column:
-    """Array of struct(interest_id, label, position, score) an event matches: keyword 1, layer or region 0.6.
-
-    The catalogue is a constant of a few dozen entries, so this is one expression per row and no join.
-    """
-    found = []
+def interest_keys(spark: SparkSession, catalogue: list[tuple]) -> DataFrame:
+    """What makes an event match an interest: (kind, key, interest_id, label, position, score), a few hundred rows at most."""
+    rows = []
     for position, (name, _group, label, layers, keywords, box) in enumerate(catalogue):
-        by_word = F.lit(False)
-        if keywords:
-            by_word = F.rlike(haystack, F.lit(" (?:" + "|".join(keywords) + ") "))
-        by_place = layer.isin(layers) if layers else F.lit(False)
-        if box:
-            south, north, west, east = box
-            by_place = by_place | (lat.between(south, north) & lng.between(west, east))
-        score = F.when(by_word, 1.0).when(by_place, 0.6)
-        found.append(F.when(score.isNotNull(), F.struct(F.lit(name).alias("interest_id"), F.lit(label).alias("label"), F.lit(position).alias("position"), score.alias("score"))))
-    return F.array_compact(F.array(*found))
+        keys = [("word", k, 1.0) for k in keywords] + [("layer", k, 0.6) for k in layers] + ([("place", name, 0.6)] if box else [])
+        rows += [(kind, key, name, label, position, score) for kind, key, score in keys]
+    return spark.createDataFrame(rows, "kind string, key string, interest_id string, label string, position int, score double")
 
 
 def event_interests(events: DataFrame, catalogue: list[tuple], terms: Column | None = None) -> DataFrame:
-    """One row per event and matching interest."""
+    """One row per event and matching interest (id, interest_id, label, position, score): whole words 1, layer or region 0.6.
+
+    An event lists its keys (words and word sequences as long as the longest keyword, its layer, the regions it lies in),
+    and the keys meet the catalogue, a constant that fits into every task.
+    """
     text = F.col("title") if terms is None else F.concat_ws(" ", F.col("title"), F.array_join(terms, " "))
-    matches = interest_matches(catalogue, F.col("layer_id"), X.words(text), F.col("lat"), F.col("lng"))
-    return events.select("id", F.inline(matches))
+    key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    longest = max((len(k.split()) for row in catalogue for k in row[4]), default=1)
+
+    def sequences(words: Column) -> Column:
+        run = lambda n: lambda start: F.array_join(F.slice(words, start, n), " ")
+        runs = [F.transform(F.sequence(F.lit(1), F.size(words)), run(n)) for n in range(1, longest + 1)]
+        return F.when(F.size(words) > 0, F.array_distinct(F.concat(*runs))).otherwise(F.array().cast("array<string>"))
+
+    boxes = [F.when(F.col("lat").between(south, north) & F.col("lng").between(west, east), key("place")(F.lit(row[0])))
+             for row in catalogue if row[5] for south, north, west, east in [row[5]]]
+    keys = F.concat(F.transform(sequences(F.col("_words")), key("word")), F.array(key("layer")(F.col("layer_id"))), F.array_compact(F.array(*boxes)) if boxes else F.array())
+    listed = events.withColumn("_words", X.word_list(text)).select("id", F.inline(keys))
+    met = listed.join(F.broadcast(interest_keys(events.sparkSession, catalogue)), ["kind", "key"])
+    return met.groupBy("id", "interest_id", "label", "position").agg(F.max("score").alias("score"))
 
 
 def seed_fallback(seeds: DataFrame, matches: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -278,12 +284,14 @@ def keyword_feed(configs: DataFrame, events: DataFrame, as_of: Column, n: int =
 
     Configs meet events on the layer; floor and week are filters; of these the newest ``stage1`` per user are scored.
     """
-    wanted = configs.withColumn("layer_id", F.explode("layers")).drop("layers")
-    recent = events.filter(F.col("occurred_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+    # Words are prepared once per event and once per config, before they meet.
+    wanted = configs.withColumn("layer_id", F.explode("layers")).withColumn("keywords", X.prepared_keywords(F.col("keywords"))).drop("layers")
+    recent = events.filter(F.col("occurred_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).withColumn("tokens", X.search_words(F.col("title"), F.col("terms"))).select(
+        "id", "layer_id", "lat", "lng", "significance", "occurred_at", "tokens", F.array_join("tokens", " ").alias("full"))
     met = recent.join(wanted, "layer_id").filter(F.col("significance") >= F.col("floor"))
     pool = first_k(met, ["user_id"], [F.desc("occurred_at"), F.asc("id")], stage1, "newest")
     distance = F.array_min(F.transform("coordinates", lambda p: G.haversine_km(F.col("lat"), F.col("lng"), p["lat"], p["lng"])))
-    keyword = X.keyword_score(F.col("title"), F.col("terms"), F.col("keywords"))
+    keyword = X.keyword_hits(F.col("tokens"), F.col("full"), F.col("keywords"))
     scored = pool.withColumn("keyword", keyword).withColumn("score", F.round(
         M.composite_score(M.coord_score(distance), F.col("keyword"), F.col("significance"), C.recency_score(F.col("occurred_at"), as_of)), 6))
     return first_k(scored, ["user_id"], [F.desc("score"), F.asc("id")], n, "rank").select("user_id", "id", "score", "keyword", "rank")
