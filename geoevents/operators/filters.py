@@ -135,5 +135,5 @@ def pending_vectors(seeds: DataFrame, events: DataFrame, vectors: DataFrame) ->
 
 
 def known_interests(profile: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Chosen interests that the catalogue still offers (the catalogue has a few dozen rows)."""
-    return profile.join(F.broadcast(catalogue.select("interest_id")), "interest_id", "left_semi")
+    """Chosen interests that the catalogue still offers."""
+    return profile.join(catalogue.select("interest_id"), "interest_id", "left_semi")

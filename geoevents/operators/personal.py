@@ -80,8 +80,7 @@ def centered(vectors: DataFrame, sample: DataFrame) -> DataFrame:
     cells = members.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"))
     mean = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda c: c["m"]).alias("mean"))
     kept = members.unionByName(vectors.filter(F.startswith("key", F.lit("interest:"))))
-    # The mean is exactly one row.
-    shifted = kept.crossJoin(F.broadcast(mean))
+    shifted = kept.withColumn("mean", mean.scalar())
     moved = F.when(F.size("mean") > 0, Y.minus(F.col("vector"), F.col("mean"))).otherwise(F.col("vector"))
     return shifted.select("key", Y.unit(moved).alias("vector")).filter("vector is not null")
 
@@ -150,10 +149,11 @@ def similar_above(users: DataFrame, items: DataFrame, threshold: float, block: i
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min(Y.dot(F.col("vector"), F.col("center")))))).alias("width"), F.first("center").alias("center"))
     sizes = items.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("i_blocks"))
     table = cut(cones.join(sizes, "cluster"))
-    # Clusters are a chosen, small number; checked before they are sent to every task.
+    # Clusters are a chosen, small number; checked before their cones are sent to every task as one value.
     if table.count() > 10_000:
         raise ValueError("too many clusters to compare every user with; use fewer, larger ones")
-    visit = users.crossJoin(F.broadcast(table))
+    listed = table.agg(F.collect_list(F.struct("cluster", "width", "center", "i_blocks"))).scalar()
+    visit = users.select("user_id", "vector", F.inline(listed))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), Y.dot(F.col("vector"), F.col("center")))))
     near = visit.filter(F.cos(F.greatest(F.lit(0.0), angle - F.col("width") - 1e-6)) >= threshold)
     left = near.select("cluster", "user_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i_blocks") - 1)).alias("ib"))

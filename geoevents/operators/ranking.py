@@ -13,6 +13,9 @@ from ..schema import layer_category
 from ..session import cut
 
 MAX_MARKERS = 5000
+# Spark pushes row_number() <= k below the shuffle for k under this limit (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SLICES = 64
 COUNTRY_CAP = 30
 PUBLISHERS_PER_COUNTRY = 10
 MAX_SOURCE_CLICKS = 3
@@ -20,9 +23,13 @@ MAX_INTERACTIONS = 500
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rn") -> DataFrame:
-    """The first k rows of each group with their rank."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    """The first k rows of each group with their rank. ``order`` must be total within a group."""
+    number = lambda part: F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    if k >= GROUP_LIMIT:
+        # Too large for Spark's own limit before the shuffle: cut every slice of a group first, then the group.
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]), F.lit(SLICES)))
+        df = sliced.withColumn("_cut", number([*keys, "_slice"])).filter(F.col("_cut") <= k).drop("_slice", "_cut")
+    return df.withColumn(rank, number(keys)).filter(F.col(rank) <= k)
 
 
 def by_significance() -> list[Column]:
@@ -77,9 +84,8 @@ def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
 
 def event_page(events: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of the canonical order, with the fingerprint of the whole result it belongs to."""
-    page = canonical_order(events).offset(offset).limit(limit)
-    # The fingerprint is exactly one row.
-    return page.crossJoin(F.broadcast(fingerprint(events, "id", "t_us")))
+    whole = fingerprint(events, "id", "t_us").select(F.struct("fingerprint", "total")).scalar()
+    return canonical_order(events).offset(offset).limit(limit).select("*", *[whole[c].alias(c) for c in ("fingerprint", "total")])
 
 
 def click_cap(actions: DataFrame) -> DataFrame:

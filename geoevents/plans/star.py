@@ -59,6 +59,15 @@ def star_read(v):
     return wide.select("id", "layer_id", "source", "significance", F.array_join("tags", ",").alias("tags"), "attributes")
 
 
+_OWN_JSON = f"""CASE WHEN len({_OWN}) > 0 OR (event_id % 13 <> 0 AND layer_id IN ({', '.join(f"'{k}'" for k in KINDS)})) THEN '{{' || array_to_string(list_filter({_OWN}, lambda x: x IS NOT NULL), ',') || '}}' END"""
+
+
+@query("attributes_object", f"SELECT id, {_OWN_JSON} AS detail, CASE WHEN event_id % 4 = 0 THEN '{{\"people_exposed\":' || CAST(event_id*7 AS VARCHAR) || ',\"exposure_source\":\"grid\"}}' END AS scored FROM ev WHERE {_OWN_JSON} IS NOT NULL OR event_id % 4 = 0")
+def attributes_object(v):
+    """Detail rows as JSON objects without nulls, beside the exposure of the event."""
+    return op.attributes(kind_tables(v), _exposure(v)).select("id", "detail", "scored")
+
+
 @query("kind_views", "SELECT layer_id, id, significance FROM ev WHERE event_id % 13 <> 0 AND layer_id IN (" + ", ".join(f"'{k}'" for k in KINDS) + ")")
 def kind_views(v):
     tables = kind_tables(v)
