@@ -96,20 +96,3 @@ def image_frame(lat: Column, lng: Column, radius_km: Column, width: int = 512) -
     frame = F.struct(F.round(west, 4).alias("west"), F.round(south, 4).alias("south"), F.round(east, 4).alias("east"),
                      F.round(north, 4).alias("north"), F.lit(width).alias("width"), height.alias("height"))
     return F.when((north > south) & (east > west), frame)
-
-
-def densify(lng1, lat1, lng2, lat2, resolution: float) -> Column:
-    """Points strictly between two ends along the great circle, at most ``resolution`` degrees apart."""
-    a, b = unit_vector(lat1, lng1), unit_vector(lat2, lng2)
-    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
-    parts = F.ceil(F.degrees(angle) / resolution).cast("int")
-
-    def at(k: Column) -> Column:
-        t = k / parts
-        first, second = F.sin((1.0 - t) * angle) / F.sin(angle), F.sin(t * angle) / F.sin(angle)
-        x, y, z = (first * p + second * q for p, q in zip(a, b))
-        return F.struct(F.degrees(F.atan2(y, x)).alias("lng"), F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"))
-
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1))), at)
-    return F.when(parts > 1, steps).otherwise(F.filter(steps, lambda _: F.lit(False)))

@@ -9,6 +9,8 @@ from ..functions import geo as G
 from ..functions import score as M
 from ..functions import text as X
 from ..functions import times as C
+from ..operators.country import densify_lines
+from ..operators.links import has_chain, has_evidence
 from ..schema import HAZARD_LABELS, HAZARD_RADIUS_KM
 from .adapter import AS_OF
 from .registry import query
@@ -355,8 +357,7 @@ def safe_numeric(v):
 def great_circle_densify(v):
     places = v.ev.select("id", "lat", "lng")
     ends = (v.ev_link.filter("source_id <> target_id").join(places.toDF("source_id", "lat1", "lng1"), "source_id").join(places.toDF("target_id", "lat2", "lng2"), "target_id"))
-    points = ends.select("link_id", F.posexplode(G.densify(c("lng1"), c("lat1"), c("lng2"), c("lat2"), 5.0)).alias("k", "p"))
-    return points.select("link_id", (c("k") + 1).cast("bigint").alias("k"), F.round("p.lat", 3).alias("lat"))
+    return densify_lines(ends, 5.0).select("link_id", "k", F.round("point_lat", 3).alias("lat"))
 
 
 _R = "(CASE layer_id WHEN 'earthquake' THEN 50.0 WHEN 'wildfire' THEN 25.0 WHEN 'flood' THEN 40.0 WHEN 'cyclone' THEN 80.0 ELSE 30.0 END * 1.5)"
@@ -465,6 +466,5 @@ def iso3(v):
 
 @query("evidence_checks", "SELECT id, event_id%4 >= 2 AS has_chain, event_id%3 >= 1 OR event_id%5 >= 1 AS has_evidence FROM ev")
 def evidence_checks(v):
-    from ..operators.links import has_chain, has_evidence
     n = lambda k: F.slice(F.split("title", " "), 1, (c("event_id") % k).cast("int"))
     return v.ev.select("id", has_chain(n(4)).alias("has_chain"), has_evidence(n(3), n(5)).alias("has_evidence"))

@@ -227,3 +227,13 @@ def test_versions(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ME.load_first(spark, [root + "-no"])
     assert ME.load_first(spark, [root + "-no", root])[1] == root
+
+
+def test_lines_follow_the_great_circle(spark):
+    kind = "lng1 double, lat1 double, lng2 double, lat2 double"
+    line = lambda *p: CO.densify_lines(spark.createDataFrame([tuple(map(float, p))], kind), 1.5).orderBy("k").collect()
+    arc = line(-30, 60, 30, 60)
+    assert len(arc) > 2 and max(p["point_lat"] for p in arc) > 63
+    seam = line(179, 30, -179, 30)
+    assert seam and all(abs(p["point_lng"]) >= 179 for p in seam)
+    assert line(0, 0, 1, 0) == []
