@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import LAYERS
-from .dedup import last_wins, unseen
+from .dedup import last_wins
 from .filters import MAX_FEED_ERRORS
 from .links import DEFAULT_LOCAL_SIGNIFICANCE, locality
 

@@ -12,7 +12,6 @@ from ..functions import times as C
 from ..operators.country import densify_lines
 from ..operators.links import has_chain, has_evidence
 from ..schema import HAZARD_LABELS, HAZARD_RADIUS_KM
-from .adapter import AS_OF
 from .registry import query
 
 c = F.col

@@ -22,7 +22,7 @@ from ..operators import merge
 from ..operators.filters import MAX_FEED_ERRORS, window_verdict
 from ..operators.links import geocode_fallback
 from ..operators.pairs import home_cell, reached_cells
-from ..operators.ranking import last_interactions, latest_feedback, saved_since
+from ..operators.ranking import last_interactions, saved_since
 from ..session import scratch_path
 
 LATE = "2 days"

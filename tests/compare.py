@@ -8,7 +8,6 @@ import sys
 import time
 
 import duckdb
-from pyspark.sql import types as T
 
 from geoevents.plans import registry
 from geoevents.plans.adapter import TABLES
