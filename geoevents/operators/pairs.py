@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import text as X
+from ..session import cut
 from .ranking import first_k
 from .skew import block_join, numbered_within, running_count
 
@@ -122,11 +123,14 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     size = F.size("ranked")
     # The small margin keeps exact thresholds such as 0.4·5 on the safe side of rounding.
     keep = size - F.ceil(threshold * size - 1e-9).cast("int") + 1
-    prefix = ordered.select("set_id", size.alias("size"), F.explode(F.slice("ranked", 1, keep)).alias("r")).select("set_id", "size", F.col("r.token").alias("token"))
-    left = prefix.toDF("set_a", "size_a", "token")
-    right = prefix.toDF("set_b", "size_b", "token")
+    prefix = ordered.select("set_id", size.alias("size"), F.posexplode(F.slice("ranked", 1, keep)).alias("pos", "r")).select("set_id", "size", "pos", F.col("r.token").alias("token"))
+    left = prefix.toDF("set_a", "size_a", "pos_a", "token")
+    right = prefix.toDF("set_b", "size_b", "pos_b", "token")
     lengths = (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-9)
-    met = block_join(left, right, ["token"], "set_b").filter((F.col("set_a") < F.col("set_b")) & lengths).select("set_a", "set_b").distinct()
+    # Where two sets first meet, only the words from there on can be shared; a pair that cannot reach the threshold any more is no candidate.
+    ahead = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    enough = ahead >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    met = block_join(left, right, ["token"], "set_b").filter((F.col("set_a") < F.col("set_b")) & lengths & enough).select("set_a", "set_b").distinct()
     tokens = sets.select("set_id", "tokens")
     both = met.join(tokens.toDF("set_a", "tokens_a"), "set_a").join(tokens.toDF("set_b", "tokens_b"), "set_b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -139,7 +143,8 @@ def similar_groups(rows: DataFrame, tokens: Column, threshold: float) -> DataFra
 
     A row stands for all n_a·n_b pairs of its members; group_a = group_b stands for the pairs inside a group of copies.
     """
-    sets = distinct_sets(token_sets(rows, tokens))
+    # The texts are read once; the word sets are used several times below.
+    sets = cut(distinct_sets(token_sets(rows.select("id", tokens.alias("_words")), F.col("_words")).drop("_words")))
     head = sets.select("set_id", "first_id", "n")
     alike = similar_sets(sets, threshold).join(head.toDF("set_a", "first_a", "size_a"), "set_a").join(head.toDF("set_b", "first_b", "size_b"), "set_b")
     swap = F.col("first_a") > F.col("first_b")
@@ -152,7 +157,8 @@ def similar_groups(rows: DataFrame, tokens: Column, threshold: float) -> DataFra
 
 def similar_rows(rows: DataFrame, tokens: Column, threshold: float, lag_us: int) -> DataFrame:
     """Pairs of rows alike in words and at most ``lag_us`` apart; the newer first."""
-    keyed = token_sets(rows, tokens)
+    # The texts are read once; the word sets are used several times below.
+    keyed = cut(token_sets(rows.select("id", "t_us", tokens.alias("_words")), F.col("_words")).drop("_words"))
     sets = distinct_sets(keyed)
     alike = similar_sets(sets, threshold).select("set_a", "set_b")
     # Both directions, and every set with itself for copies.
@@ -179,7 +185,10 @@ def dedup_candidates(events: DataFrame) -> DataFrame:
 
 def news_place_pairs(news: DataFrame) -> DataFrame:
     """Pairs close in place and time that do not already match by keywords."""
-    pairs = near_pairs(news.select("id", "lat", "lng", "t_us", "keywords"), NEWS_KM, NEWS_HOURS)
+    # Positions travel through the grid; keywords are only fetched for the pairs that are near.
+    near = near_pairs(news.select("id", "lat", "lng", "t_us"), NEWS_KM, NEWS_HOURS)
+    words = news.select("id", "keywords")
+    pairs = near.join(words.toDF("id_a", "keywords_a"), "id_a").join(words.toDF("id_b", "keywords_b"), "id_b")
     shared = F.size(F.array_intersect("keywords_a", "keywords_b"))
     union = F.size("keywords_a") + F.size("keywords_b") - shared
     by_keyword = (F.size("keywords_a") > 0) & (F.size("keywords_b") > 0) & (shared / union >= KEYWORD_JACCARD)
@@ -213,8 +222,9 @@ def topic_windows(news: DataFrame, hours: int = TOPIC_HOURS) -> DataFrame:
 
 def news_disaster_pairs(news: DataFrame, disasters: DataFrame) -> DataFrame:
     """News up to seven days after a disaster within 500 km, and whether the text names its kind."""
-    said = news.select("id", "lat", "lng", "t_us", X.mentioned_hazards(F.col("said")).alias("hazards"))
-    pairs = near_join(said, disasters.select("id", "lat", "lng", "t_us", "category"), DISASTER_KM, DISASTER_DAYS * DAY)
+    said = news.select(F.col("id").alias("id_a"), X.mentioned_hazards(F.col("said")).alias("hazards_a"))
+    near = near_join(news.select("id", "lat", "lng", "t_us"), disasters.select("id", "lat", "lng", "t_us", "category"), DISASTER_KM, DISASTER_DAYS * DAY)
+    pairs = near.join(said, "id_a")
     return pairs.select(F.col("id_a").alias("news_id"), F.col("id_b").alias("disaster_id"), "km", "lag_us", F.array_contains("hazards_a", F.col("category_b")).alias("mentions"))
 
 
