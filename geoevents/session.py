@@ -38,14 +38,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it; a local one only where none is named."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only where none is named, as in tests, a new local folder is taken; Spark then remembers it as its checkpoint folder.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    known = context.getCheckpointDir()
+    if known is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        known = context.getCheckpointDir()
+    return named or known
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
