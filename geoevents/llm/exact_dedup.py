@@ -21,6 +21,8 @@ NAME = "op5_exact_dedup"
 #: Files of fingerprints that one micro-batch takes.
 FILES_PER_BATCH = 200
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State is spread over many small stores, so none reserves disk ahead of use.
+RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def normalised(text: Column | str) -> Column:
@@ -50,6 +52,7 @@ def run_state(spark: SparkSession, fingerprints: str, checkpoint: str, files_per
     """Take all fingerprint files not yet seen under ``checkpoint`` into the state; a restarted run goes on where it stopped."""
     own = spark.newSession()  # the state store's settings concern this stream alone
     own.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+    own.conf.set(RESERVE, "false")
     own.conf.set("spark.sql.shuffle.partitions", str(partitions(spark)))
     stream = own.readStream.schema(spark.read.parquet(fingerprints).schema).option("maxFilesPerTrigger", files_per_batch).parquet(fingerprints)
     state = stream.groupBy("digest").agg(F.min(stable_order()).alias("first"), F.count(F.lit(1)).alias("n"))
