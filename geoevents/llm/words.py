@@ -125,3 +125,15 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
         else:
             out.append(chained(h[a:b], b - a) if b > a else h[:0])
     return out
+
+
+def find_in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash in a sorted table, -1 where it is absent. Most absent ones are told by their leading 16 bits."""
+    out = np.full(len(h), -1, dtype=np.int64)
+    if len(table):
+        lead = np.zeros(1 << 16, dtype=bool)
+        lead[(table >> np.uint64(48)).astype(np.int64)] = True
+        maybe = np.flatnonzero(lead[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
+        out[maybe] = np.where(table[at] == h[maybe], at, -1)
+    return out
