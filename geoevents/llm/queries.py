@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "decontaminate", "bpe", "exact_dedup", "sharding"]
+MODULES = ["toxicity", "secrets", "decontaminate", "bpe", "exact_dedup", "sharding", "quality"]
 
 for _name in MODULES:
     _module = importlib.import_module(f"{__package__}.{_name}")
