@@ -12,7 +12,7 @@ is one shingle, one without words has an empty set and no links. Texts are linke
    pairs among them are not listed; only members not linked to it meet the rest of the list. A pile of copies thus gives pairs in proportion to its size.
 5. Pairs are estimated on the sketch of their union, then confirmed on full sets. Components follow from the links.
 
-Rows of one doc_id count as one document. Null texts count as empty; rows without an id link with nothing and stay.
+Rows are documents of their own, also where ids repeat. Null texts count as empty; rows without an id link with nothing and stay.
 """
 
 from __future__ import annotations
@@ -157,10 +157,11 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     whole = sets_of(texts, shingle, whole=True).join(chosen.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     sets = saved(whole.groupBy("digest").agg(F.first("n").alias("n"), F.first("held").alias("held")), "sets")
     found = links(sets)
-    names = chosen.select("digest", "rep")
-    edges = found.join(names.toDF("a", "u"), "a").join(names.toDF("b", "w"), "b").select("u", "w")
-    roots = components(edges, "u", "w")
-    home = classes.select("digest", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    roots = components(found, "a", "b").toDF("digest", "root")
+    named = roots.join(chosen.select("digest", "rep"), "digest")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    linked = named.join(least, "root").select("digest", "least")
+    home = classes.select("digest", "rep").join(linked, "digest", "left").select("digest", F.coalesce("least", "rep").alias("root"))
     placed = rows.select("doc_id", "n", "digest").join(home, "digest", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     root = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
