@@ -60,7 +60,7 @@ class LabelModel:
     conditional tables, correlations the tree.
     """
 
-    def fit(self, votes: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, rounds: int = 60) -> LabelModel:
+    def fit(self, votes: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, rounds: int = 200) -> LabelModel:
         """``votes``: patterns x voters of 0/1; counts per pattern, ``labelled`` with a column for each label."""
         self.parent = [-1] * votes.shape[1]
         total = labelled.sum(axis=0) + 1.0
@@ -70,7 +70,7 @@ class LabelModel:
         self.tables(votes, soft)
         for k in range(rounds):
             soft = labelled + unlabelled[:, None] * self.posterior(votes)
-            if k == rounds // 2:
+            if k in (1, rounds // 2):
                 self.parent = self.tree(votes, soft)
             self.tables(votes, soft)
         return self
