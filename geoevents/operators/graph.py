@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..session import cut
 
-MAX_ROUNDS = 500
+#: Results of so many rounds are folded into one table, so plans stay short however many rounds there are.
+FOLD_ROUNDS = 16
 
 
 # ---------------------------------------------------------------- links
@@ -56,6 +57,12 @@ def two_hop(links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
+def gathered(so_far: DataFrame | None, found: DataFrame, rounds: int) -> DataFrame:
+    """What all rounds have found. Every round settles at least one row, so rounds need no limit."""
+    both = found if so_far is None else so_far.unionByName(found)
+    return cut(both) if rounds % FOLD_ROUNDS == 0 else both
+
+
 def _checksum(edges: DataFrame) -> tuple:
     """Number and hash of a set of edges; equal for equal sets in any order."""
     h = F.xxhash64("u", "v")
@@ -72,7 +79,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     nodes = pairs.select(F.col(a).alias("id")).union(pairs.select(F.col(b).alias("id"))).distinct()
     edges = cut(edges)
     before = _checksum(edges)
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Large star: for every node, larger neighbours go to the smallest of its neighbourhood.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -87,7 +94,6 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         if same:
             roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
             return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 # ---------------------------------------------------------------- first come, first kept
@@ -100,18 +106,18 @@ def first_kept(claims: DataFrame) -> DataFrame:
     never paired up, so a key shared by a third of the rows costs one partial row per task.
     """
     open_claims = cut(claims.select("id", "prio", "key"))
-    dropped = None
-    for _ in range(MAX_ROUNDS):
+    dropped, rounds = None, 0
+    while True:
         first = open_claims.groupBy("key").agg(F.min("prio").alias("first"))
         ranked = open_claims.join(first, "key")
         kept = ranked.groupBy("id").agg(F.bool_and(F.col("prio") == F.col("first")).alias("kept")).filter("kept").select("id")
         kept_keys = open_claims.join(kept, "id", "left_semi").select("key").distinct()
         lost = cut(open_claims.join(kept, "id", "left_anti").join(kept_keys, "key", "left_semi").select("id").distinct())
-        dropped = lost if dropped is None else dropped.unionByName(lost)
+        rounds += 1
+        dropped = gathered(dropped, lost, rounds)
         open_claims = cut(open_claims.join(kept, "id", "left_anti").join(lost, "id", "left_anti"))
         if open_claims.isEmpty():
             return dropped
-    raise RuntimeError("selection did not settle")
 
 
 def url_dedup(events: DataFrame) -> DataFrame:
@@ -126,16 +132,16 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     oriented = edges.join(prio.toDF("a", "pa"), "a").join(prio.toDF("b", "pb"), "b")
     ahead = F.col("pa") < F.col("pb")
     open_edges = cut(oriented.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("lo")).filter("hi <> lo").distinct())
-    dropped = None
-    for _ in range(MAX_ROUNDS):
+    dropped, rounds = None, 0
+    while True:
         if open_edges.isEmpty():
             return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
         kept = open_edges.join(open_edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti").select("hi").distinct()
         lost = cut(open_edges.join(kept, "hi", "left_semi").select(F.col("lo").alias("id")).distinct())
-        dropped = lost if dropped is None else dropped.unionByName(lost)
+        rounds += 1
+        dropped = gathered(dropped, lost, rounds)
         rest = open_edges.join(lost.withColumnRenamed("id", "lo"), "lo", "left_anti").join(lost.withColumnRenamed("id", "hi"), "hi", "left_anti")
         open_edges = cut(rest)
-    raise RuntimeError("selection did not settle")
 
 
 # ---------------------------------------------------------------- pins
@@ -186,21 +192,20 @@ def pin_clusters(pins: DataFrame, radius: float) -> DataFrame:
     undecided = cut(spots.withColumn("sx", square("x")).withColumn("sy", square("y")))
     reach = F.sequence(F.lit(-2), F.lit(2))
     around = lambda df, x, y: df.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).withColumn(x, F.col("sx") + F.col("dx")).withColumn(y, F.col("sy") + F.col("dy")).drop("dx", "dy")
-    leaders = None
-    for _ in range(MAX_ROUNDS):
+    leaders, rounds = None, 0
+    while True:
         tops = undecided.groupBy("sx", "sy").agg(F.min("prio").alias("top"))
         lowest = around(tops, "nx", "ny").groupBy(F.col("nx").alias("sx"), F.col("ny").alias("sy")).agg(F.min("top").alias("lowest"))
         new = undecided.join(tops.join(lowest, ["sx", "sy"]).filter("top = lowest"), ["sx", "sy"]).filter("prio = top").select("id", "prio", "x", "y", "sx", "sy")
         new = cut(new)
-        leaders = new if leaders is None else leaders.unionByName(new)
+        rounds += 1
+        leaders = gathered(leaders, new, rounds)
         covers = around(new.select("sx", "sy", F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(F.col("tx").alias("sx"), F.col("ty").alias("sy"), "lx", "ly")
         within = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) <= radius
         settled = undecided.join(covers, ["sx", "sy"]).filter(within).select("x", "y").distinct()
         undecided = cut(undecided.join(settled, ["x", "y"], "left_anti"))
         if undecided.isEmpty():
             break
-    else:
-        raise RuntimeError("clusters did not settle")
     lead = around(leaders.select("sx", "sy", F.col("id").alias("leader"), F.col("prio").alias("lp"), F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(
         F.col("tx").alias("sx"), F.col("ty").alias("sy"), "leader", "lp", "lx", "ly")
     within = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) <= radius
@@ -225,21 +230,20 @@ def canonical_merge(events: DataFrame, verified: DataFrame) -> DataFrame:
     pairs = verified.join(level.toDF("a", "sa"), "a").join(level.toDF("b", "sb"), "b")
     keeps_a = F.col("sa") >= F.col("sb")
     open_pairs = cut(pairs.select("ord", F.when(keeps_a, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(keeps_a, F.col("b")).otherwise(F.col("a")).alias("loser")))
-    merged = None
-    for _ in range(MAX_ROUNDS):
+    merged, rounds = None, 0
+    while True:
         if open_pairs.isEmpty():
             break
         losses = open_pairs.groupBy("loser").agg(F.min("ord").alias("first_loss"))
         at_winner = losses.toDF("winner", "winner_loss")
         certain = open_pairs.join(losses, "loser").filter("ord = first_loss").join(at_winner, "winner", "left").filter("winner_loss is null or winner_loss > ord")
         done = cut(certain.select(F.col("loser").alias("id"), F.col("winner").alias("canonical_id"), "ord"))
-        merged = done if merged is None else merged.unionByName(done)
+        rounds += 1
+        merged = gathered(merged, done, rounds)
         gone = done.select("id", F.col("ord").alias("gone_at"))
         rest = open_pairs.join(gone.toDF("loser", "loser_gone"), "loser", "left").join(gone.toDF("winner", "winner_gone"), "winner", "left")
         # Losing pairs of a settled event are over; pairs it wins stay open if they come before its loss.
         open_pairs = cut(rest.filter("loser_gone is null and (winner_gone is null or ord < winner_gone)").select("ord", "winner", "loser"))
-    else:
-        raise RuntimeError("merge did not settle")
     if merged is None:
         return events.select("id").withColumn("canonical_id", F.lit(None).cast("string"))
     return events.select("id").join(merged.select("id", "canonical_id"), "id", "left")

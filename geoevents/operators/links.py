@@ -26,10 +26,13 @@ def has_evidence(explicit: Column, knowledge: Column) -> Column:
     return F.coalesce(F.size(explicit) >= 1, F.lit(False)) | F.coalesce(F.size(knowledge) >= 1, F.lit(False))
 
 
-def verdict_join(items: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Items with the answer given for them in their own batch. Answers for anything else are ignored; the rest stay unanswered."""
+def verdict_join(items: DataFrame, verdicts: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Items with the answer given for them in their own batch. Answers for anything else are ignored; the rest stay unanswered.
+
+    Of several answers for one item the last by ``order`` counts, without an order the greatest as a whole.
+    """
     answers = [c for c in verdicts.columns if c not in keys]
-    once = verdicts.groupBy(*keys).agg(F.any_value(F.struct(*answers)).alias("answer"))
+    once = verdicts.groupBy(*keys).agg(F.max_by(F.struct(*answers), F.struct(*answers) if order is None else order).alias("answer"))
     joined = items.join(once, keys, "left")
     return joined.withColumn("answered", F.col("answer").isNotNull()).select(*items.columns, "answered", *[F.col("answer").getField(c).alias(c) for c in answers])
 

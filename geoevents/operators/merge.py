@@ -7,8 +7,8 @@ aggregation (``max_by``), so a key repeated very often in the input is reduced b
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ from .dedup import last_wins
 from .filters import MAX_FEED_ERRORS
 from .links import DEFAULT_LOCAL_SIGNIFICANCE, locality
 
+#: Versions of a table that stay readable after a new one is written.
+KEPT_VERSIONS = 3
+
 
 def upsert_full(stored: DataFrame, incoming: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """New rows replace stored ones of the same key as a whole; among new ones the last wins."""
@@ -25,9 +28,13 @@ def upsert_full(stored: DataFrame, incoming: DataFrame, keys: list[str], order:
     return stored.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 
-def upsert_partial(stored: DataFrame, incoming: DataFrame, keys: list[str], replace: list[str] = (), keep_if_null: list[str] = ()) -> DataFrame:
-    """Only some columns of a stored row are refreshed: ``replace`` always, ``keep_if_null`` when the new value is not null."""
-    fresh = incoming.select(*keys, *[F.col(c).alias(f"new_{c}") for c in incoming.columns if c not in keys], F.lit(True).alias("_new"))
+def upsert_partial(stored: DataFrame, incoming: DataFrame, keys: list[str], replace: list[str] = (), keep_if_null: list[str] = (), order: Column | None = None) -> DataFrame:
+    """Only some columns of a stored row are refreshed: ``replace`` always, ``keep_if_null`` when the new value is not null.
+
+    Of new rows with the same key the last by ``order`` counts, without an order the greatest as a whole.
+    """
+    fresh = _one_per_key(incoming, keys, order)
+    fresh = fresh.select(*keys, *[F.col(c).alias(f"new_{c}") for c in incoming.columns if c not in keys], F.lit(True).alias("_new"))
     old = stored.withColumn("_old", F.lit(True))
     joined = old.join(fresh, keys, "full")
 
@@ -42,8 +49,17 @@ def upsert_partial(stored: DataFrame, incoming: DataFrame, keys: list[str], repl
     return joined.select(*keys, *[value(c) for c in stored.columns if c not in keys])
 
 
-def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    once = incoming.dropDuplicates(keys)
+def _one_per_key(rows: DataFrame, keys: list[str], order: Column | None, last: bool = True) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.select(*keys).distinct()
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*others) if order is None else order).alias("one")).select(*keys, "one.*")
+
+
+def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """New keys only. Of new rows with the same key the first by ``order`` comes in, without an order the least as a whole."""
+    once = _one_per_key(incoming, keys, order, last=False)
     return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
 
 
@@ -117,30 +133,51 @@ def record_batch(spark: SparkSession, source: str, pulled_at: Column, payload: C
 
 
 def write_version(rows: DataFrame, root: str, meta: dict | None = None) -> int:
-    """A new complete version, then the pointer to it: readers see the old one or the whole new one."""
+    """A new complete version, then the pointer to it: readers see the old one or the whole new one.
+
+    The data go to a folder of their own that the pointer names, so what a crashed attempt left is in nobody's way. Versions before
+    the last ``KEPT_VERSIONS`` are removed, with what crashed attempts left of them. One writer at a time.
+    """
     spark = rows.sparkSession
-    version = (current_version(spark, root) or {"version": 0})["version"] + 1
-    rows.write.mode("errorifexists").parquet(f"{root}/v{version:08d}")
-    stored = spark.read.parquet(f"{root}/v{version:08d}")
+    version = (_pointer(spark, root) or {"version": 0})["version"] + 1
+    folder = f"v{version:08d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/{folder}")
+    stored = spark.read.parquet(f"{root}/{folder}")
     note = json.dumps({**(meta or {}), "version": version, "eventCount": stored.count()})
-    spark.createDataFrame([(version, note)], "version int, meta string").coalesce(1).write.mode("append").json(f"{root}/_pointer")
+    spark.createDataFrame([(version, folder, note)], "version int, folder string, meta string").coalesce(1).write.mode("append").json(f"{root}/_pointer")
+    files, base = _files(spark, root)
+    for status in files.listStatus(base):
+        name = status.getPath().getName()
+        if name.startswith("v") and int(name[1:9]) <= version - KEPT_VERSIONS:
+            files.delete(status.getPath(), True)
     return version
 
 
-def current_version(spark: SparkSession, root: str) -> dict | None:
-    """Number and notes of the newest complete version."""
-    try:
-        pointer = spark.read.schema("version int, meta string").json(f"{root}/_pointer")
-    except AnalysisException:
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as Hadoop's objects."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _pointer(spark: SparkSession, root: str) -> dict | None:
+    files, where = _files(spark, f"{root}/_pointer")
+    if not files.exists(where):
         return None
     # One row per version written.
-    row = pointer.orderBy(F.desc("version")).first()
-    return {"version": row["version"], **json.loads(row["meta"])} if row else None
+    row = spark.read.schema("version int, folder string, meta string").json(f"{root}/_pointer").orderBy(F.desc("version")).first()
+    return None if row is None else {"version": row["version"], "folder": row["folder"], "meta": json.loads(row["meta"])}
+
+
+def current_version(spark: SparkSession, root: str) -> dict | None:
+    """Number and notes of the newest complete version."""
+    newest = _pointer(spark, root)
+    return None if newest is None else {"version": newest["version"], **newest["meta"]}
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame | None:
-    current = current_version(spark, root)
-    return None if current is None else spark.read.parquet(f"{root}/v{current['version']:08d}")
+    newest = _pointer(spark, root)
+    return None if newest is None else spark.read.parquet(f"{root}/{newest['folder']}")
 
 
 def load_first(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, str]:

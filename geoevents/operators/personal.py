@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as Y
@@ -285,7 +285,7 @@ def keyword_feed(configs: DataFrame, events: DataFrame, as_of: Column, n: int =
     Configs meet events on the layer; floor and week are filters; of these the newest ``stage1`` per user are scored.
     """
     # Words are prepared once per event and once per config, before they meet.
-    wanted = configs.withColumn("layer_id", F.explode("layers")).withColumn("keywords", X.prepared_keywords(F.col("keywords"))).drop("layers")
+    wanted = configs.withColumn("layer_id", F.explode(F.array_distinct("layers"))).withColumn("keywords", X.prepared_keywords(F.col("keywords"))).drop("layers")
     recent = events.filter(F.col("occurred_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).withColumn("tokens", X.search_words(F.col("title"), F.col("terms"))).select(
         "id", "layer_id", "lat", "lng", "significance", "occurred_at", "tokens", F.array_join("tokens", " ").alias("full"))
     met = recent.join(wanted, "layer_id").filter(F.col("significance") >= F.col("floor"))
@@ -308,4 +308,6 @@ def rerank_merge(feed: DataFrame, reranked: DataFrame) -> DataFrame:
     pool_order = F.when(F.col("rank") <= RERANK_POOL, F.col("new_rank"))
     joined = feed.join(reranked.select("user_id", "id", F.col("rank").alias("new_rank")), ["user_id", "id"], "left")
     order = [F.asc_nulls_last("_new"), F.asc("rank")]
-    return first_k(joined.withColumn("_new", pool_order), ["user_id"], order, 1000, "place").drop("_new", "new_rank")
+    # One row per event a user was shown: the feed is ranked per user already.
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return joined.withColumn("_new", pool_order).withColumn("place", place).drop("_new", "new_rank")

@@ -115,7 +115,7 @@ def latest_feedback(actions: DataFrame) -> DataFrame:
     return last.select("user_id", "event_id", "last.*").filter("kind <> 'clear'")
 
 
-def publisher_cap(candidates: DataFrame, limit: int = PUBLISHERS_PER_COUNTRY, max_rounds: int = 1000) -> DataFrame:
+def publisher_cap(candidates: DataFrame, limit: int = PUBLISHERS_PER_COUNTRY) -> DataFrame:
     """Up to ``limit`` publishers per country, most items first; a domain serves the first country (in order) that takes it.
 
     Input: country_pos, domain, items. Taking countries in turn gives the same result as rounds of offers: every
@@ -124,14 +124,14 @@ def publisher_cap(candidates: DataFrame, limit: int = PUBLISHERS_PER_COUNTRY, ma
     """
     best = candidates.filter(F.coalesce("domain", F.lit("")) != "").groupBy("country_pos", "domain").agg(F.max("items").alias("items"))
     open_offers = cut(best)
-    for _ in range(max_rounds):
+    # Every round takes at least one offer away, so rounds need no limit.
+    while True:
         offers = cut(first_k(open_offers, ["country_pos"], [F.desc("items"), F.asc("domain")], limit))
         kept = offers.groupBy("domain").agg(F.min("country_pos").alias("keeper"))
         refused = offers.join(kept, "domain").filter(F.col("country_pos") != F.col("keeper")).select("country_pos", "domain")
         if refused.isEmpty():
             return offers
         open_offers = cut(open_offers.join(refused, ["country_pos", "domain"], "left_anti"))
-    raise RuntimeError("publisher offers did not settle")
 
 
 def top_terms(terms: Column, k: int = 3) -> Column:

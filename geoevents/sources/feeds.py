@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import arrays as Y
 from ..functions import score as M
@@ -45,8 +46,10 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, all columns as text."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """CSV with a header, all columns as text. Columns are found by name; others are left out, missing ones are null."""
+    found = spark.read.option("header", True).csv(path)
+    wanted = StructType.fromDDL(schema).fields
+    return found.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
 
 def event_columns(**given: Column) -> list[Column]:

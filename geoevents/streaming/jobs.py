@@ -44,12 +44,15 @@ def per_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[DataFrame | None], DataFrame]) -> None:
-    """The next version of a table from a batch, unless this batch is in it already."""
-    current = merge.current_version(spark, root)
-    if current is not None and current.get("batch", -1) >= batch_id:
+def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[DataFrame | None], DataFrame], writer: str = "") -> None:
+    """The next version of a table from a batch, unless this batch of this writer is in it already.
+
+    A writer is a checkpoint: batch numbers start again with a new one, and several streams may feed one table in turn.
+    """
+    done = (merge.current_version(spark, root) or {}).get("batches", {})
+    if done.get(writer, -1) >= batch_id:
         return
-    merge.write_version(change(merge.read_version(spark, root)), root, {"batch": batch_id})
+    merge.write_version(change(merge.read_version(spark, root)), root, {"batches": {**done, writer: batch_id}})
 
 
 # ---------------------------------------------------------------- tables kept by key
@@ -60,14 +63,14 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str]
         def change(stored: DataFrame | None) -> DataFrame:
             empty = batch.limit(0) if stored is None else stored
             return merge.upsert_full(empty, batch, keys, F.col(order))
-        apply_once(root, batch_id, batch.sparkSession, change)
+        apply_once(root, batch_id, batch.sparkSession, change, checkpoint)
     per_batch(stream, step, checkpoint)
 
 
 def retention_stream(stream: DataFrame, root: str, checkpoint: str, as_of: Column, cutoff: Column, window: str) -> None:
     """Appends each poll, archives what is old and removes what was archived long ago."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_once(root, batch_id, batch.sparkSession, lambda stored: merge.retention(batch if stored is None else stored.unionByName(batch), as_of, cutoff, window))
+        apply_once(root, batch_id, batch.sparkSession, lambda stored: merge.retention(batch if stored is None else stored.unionByName(batch), as_of, cutoff, window), checkpoint)
     per_batch(stream, step, checkpoint)
 
 
@@ -88,7 +91,7 @@ def window_tally(stream: DataFrame, root: str, checkpoint: str, as_of: Column, h
     verdict = F.when(window_verdict(ts, as_of, hours), F.lit("kept")).when(ts > as_of, F.lit("future")).otherwise(F.lit("late"))
     counts = stream.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
     # Complete mode: each batch brings the whole (three-row) table.
-    per_batch(counts, lambda batch, batch_id: apply_once(root, batch_id, batch.sparkSession, lambda _: batch), checkpoint, "complete")
+    per_batch(counts, lambda batch, batch_id: apply_once(root, batch_id, batch.sparkSession, lambda _: batch, checkpoint), checkpoint, "complete")
 
 
 # ---------------------------------------------------------------- densities and clusters
@@ -115,7 +118,7 @@ def hotspot_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
             both = fresh if stored is None else stored.unionByName(fresh)
             return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"), F.sum("sum_frp").alias("sum_frp"), F.max("last_at").alias("last_at"))
 
-        apply_once(root, batch_id, batch.sparkSession, change)
+        apply_once(root, batch_id, batch.sparkSession, change, checkpoint)
     per_batch(stream, step, checkpoint)
 
 
@@ -143,7 +146,7 @@ def profile_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         new = batch.select(*columns)
-        apply_once(root, batch_id, batch.sparkSession, lambda stored: compact(new if stored is None else stored.unionByName(new)))
+        apply_once(root, batch_id, batch.sparkSession, lambda stored: compact(new if stored is None else stored.unionByName(new)), checkpoint)
     per_batch(stream, step, checkpoint)
 
 

@@ -24,11 +24,33 @@ def test_upsert_continues_and_is_applied_once(spark, tmp_path):
     run()  # nothing new
     assert {r["id"]: r["value"] for r in merge.read_version(spark, root).collect()} == {"a": 9.0, "b": 2.0}
     assert merge.current_version(spark, root)["version"] == 2
-    # A repeated batch leaves the table alone.
-    jobs.apply_once(root, 1, spark, lambda stored: stored.limit(0))
+    # A repeated batch of the same checkpoint leaves the table alone.
+    jobs.apply_once(root, 1, spark, lambda stored: stored.limit(0), check)
     assert merge.read_version(spark, root).count() == 2
 
 
+def test_new_checkpoint_and_second_stream_are_not_taken_for_repeats(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for k, value in enumerate([1.0, 2.0, 3.0]):
+        source = tmp_path / f"in{k}"
+        land(spark, source, [(f"x{k}", 1, value, "2024-01-01 00:00:00", k)], "1")
+        jobs.upsert_stream(jobs.read_files(spark, str(source), KIND), root, str(tmp_path / f"c{k}"), ["id"], "seq")
+    assert {r["id"]: r["value"] for r in merge.read_version(spark, root).collect()} == {"x0": 1.0, "x1": 2.0, "x2": 3.0}
+
+
+def test_upsert_goes_on_after_a_crash_before_the_pointer(spark, tmp_path):
+    root = str(tmp_path / "t")
+    merge.write_version(spark.range(2), root)
+    # What a crashed attempt at version 2 leaves behind.
+    spark.range(9).write.parquet(f"{root}/v00000002-crashed")
+    assert merge.read_version(spark, root).count() == 2
+    for n in (3, 4, 5, 6):
+        merge.write_version(spark.range(n), root)
+    assert merge.read_version(spark, root).count() == 6
+    left = sorted(p.name[:9] for p in (tmp_path / "t").iterdir() if p.name.startswith("v"))
+    assert left == ["v00000003", "v00000004", "v00000005"]
+
+
 def test_density_emits_closed_days_only(spark, tmp_path):
     source, out, check = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "c")
     kind = "lat double, lng double, weight double, ts timestamp"

@@ -14,8 +14,10 @@ from geoevents.operators import country as CO
 from geoevents.operators import density as D
 from geoevents.operators import exposure as EX
 from geoevents.operators import filters as FI
+from geoevents.operators import graph as GR
 from geoevents.operators import links as LI
 from geoevents.operators import merge as ME
+from geoevents.operators import personal as P
 from geoevents.operators import ranking as RA
 from geoevents.operators import validate as VA
 
@@ -217,6 +219,26 @@ def test_row_rules(spark):
         VA.reject_batch(rows)
 
 
+def test_repeated_new_keys_give_one_row(spark):
+    stored = spark.createDataFrame([("a", 1, "x")], "k string, v int, w string")
+    new = spark.createDataFrame([("a", 2, None), ("a", 3, None), ("b", 4, "y"), ("b", 5, "z")], "k string, v int, w string")
+    got = sorted(map(tuple, ME.upsert_partial(stored, new, ["k"], replace=["v"], keep_if_null=["w"], order=F.col("v")).collect()))
+    assert got == [("a", 3, "x"), ("b", 5, "z")]
+    assert sorted(map(tuple, ME.insert_absent(stored, new, ["k"], F.col("v")).collect())) == [("a", 1, "x"), ("b", 4, "y")]
+
+
+def test_rerank_keeps_every_rank(spark):
+    feed = spark.range(1, 1501).select(F.lit("u").alias("user_id"), F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("rank"))
+    out = P.rerank_merge(feed, spark.createDataFrame([("u", "3", 1)], "user_id string, id string, rank int"))
+    assert out.count() == 1500 and out.filter("id = '3'").first()["place"] == 1
+
+
+def test_long_chains_settle_without_a_round_limit(spark):
+    # Each event shares a URL with the next: two are settled per round.
+    events = spark.range(40).select(F.col("id").cast("string").alias("id"), F.col("id").alias("prio"), F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("urls"))
+    assert sorted(int(r["id"]) for r in GR.url_dedup(events).collect()) == list(range(0, 40, 2))
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     assert ME.read_version(spark, root) is None
