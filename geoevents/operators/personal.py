@@ -16,6 +16,8 @@ from ..schema import CATEGORIES, layer_category
 from ..session import cut
 from .ranking import click_cap, first_k, last_interactions, latest_feedback, saved_since
 
+#: Cones of clusters in one list, and lists that may be broadcast.
+CONES, BROADCAST_LISTS = 1_000, 10
 # Signal weights, thresholds and feed weights.
 SEED_WEIGHT = 1.0
 SIGNAL_WEIGHTS = {"more": 2.0, "save": 1.5, "source": 1.0, "open": 0.3}
@@ -149,11 +151,11 @@ def similar_above(users: DataFrame, items: DataFrame, threshold: float, block: i
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min(Y.dot(F.col("vector"), F.col("center")))))).alias("width"), F.first("center").alias("center"))
     sizes = items.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("i_blocks"))
     table = cut(cones.join(sizes, "cluster"))
-    # Clusters are a chosen, small number; checked before their cones are sent to every task as one value.
-    if table.count() > 10_000:
-        raise ValueError("too many clusters to compare every user with; use fewer, larger ones")
-    listed = table.agg(F.collect_list(F.struct("cluster", "width", "center", "i_blocks"))).scalar()
-    visit = users.select("user_id", "vector", F.inline(listed))
+    # Cones go to the users in lists of about CONES each; a list is one row. Up to BROADCAST_LISTS of them are sent to every task.
+    lists = -(-max(1, table.count()) // CONES)
+    listed = table.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(lists)).cast("int").alias("list")).agg(F.collect_list(F.struct("cluster", "width", "center", "i_blocks")).alias("cones"))
+    asked = users.select("user_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"))
+    visit = asked.join(F.broadcast(listed) if lists <= BROADCAST_LISTS else listed, "list").select("user_id", "vector", F.inline("cones"))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), Y.dot(F.col("vector"), F.col("center")))))
     near = visit.filter(F.cos(F.greatest(F.lit(0.0), angle - F.col("width") - 1e-6)) >= threshold)
     left = near.select("cluster", "user_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i_blocks") - 1)).alias("ib"))

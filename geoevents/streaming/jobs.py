@@ -76,9 +76,10 @@ def retention_stream(stream: DataFrame, root: str, checkpoint: str, as_of: Colum
 
 # ---------------------------------------------------------------- items
 
-def unique_items(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Items not seen before within the lateness; ``ts`` is the event time."""
-    append_to(stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys).select(*keys), out, checkpoint)
+def unique_items(stream: DataFrame, keys: list[str], out: str, checkpoint: str, forget: str | None = None) -> None:
+    """Items never seen before. With ``forget``, ids are dropped from the state that long after their ``ts``, and may then come again."""
+    known = stream.dropDuplicates(keys) if forget is None else stream.withWatermark("ts", forget).dropDuplicatesWithinWatermark(keys)
+    append_to(known.select(*keys), out, checkpoint)
 
 
 def timely_items(stream: DataFrame, out: str, checkpoint: str, as_of: Column, hours: int) -> None:
@@ -161,11 +162,11 @@ def profile_summary(profile: DataFrame) -> DataFrame:
 def feed_health_stream(polls: DataFrame, out: str, checkpoint: str) -> None:
     """Consecutive failures per feed. Input: feed_url, seq, ok. Every batch appends the new state of the feeds it touched.
 
-    The state is the number of failures since the last success and the sequence it is valid for; polls of a batch may come in any order.
+    The state is the last success and the failures after it, so polls may come in any order, also in later batches.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, last = state.get if state.exists else (0, -1)
-        last_ok, failed = -1, np.array([], dtype=np.int64)
+        last_ok, last, known = state.get if state.exists else (-1, -1, [])
+        failed = np.asarray(known, dtype=np.int64)
         for rows in batches:
             ok = rows["ok"].to_numpy(dtype=bool)
             seq = rows["seq"].to_numpy(dtype=np.int64)
@@ -174,12 +175,12 @@ def feed_health_stream(polls: DataFrame, out: str, checkpoint: str) -> None:
             failed = np.concatenate([failed, seq[~ok]])
             failed = failed[failed > last_ok]
             last = max(last, int(seq.max()))
-        errors = len(failed) if last_ok >= 0 else errors + len(failed)
-        state.update((int(errors), int(last)))
+        errors = len(failed)
+        state.update((int(last_ok), int(last), [int(x) for x in failed]))
         yield pd.DataFrame({"feed_url": [key[0]], "error_count": [int(errors)], "last_seq": [int(last)], "paused": [bool(errors >= MAX_FEED_ERRORS)]})
 
     states = polls.groupBy("feed_url").applyInPandasWithState(
-        update, "feed_url string, error_count bigint, last_seq bigint, paused boolean", "errors bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
+        update, "feed_url string, error_count bigint, last_seq bigint, paused boolean", "last_ok bigint, last bigint, failed array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         # A batch has its own folder, so a repeated batch replaces itself.
@@ -190,7 +191,8 @@ def feed_health_stream(polls: DataFrame, out: str, checkpoint: str) -> None:
 
 def latest_health(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.parquet(out)
-    return rows.groupBy("feed_url").agg(F.max_by(F.struct("error_count", "paused"), "last_seq").alias("s")).select("feed_url", "s.*")
+    # The last batch that touched a feed holds its state.
+    return rows.groupBy("feed_url").agg(F.max_by(F.struct("error_count", "paused"), "batch").alias("s")).select("feed_url", "s.*")
 
 
 # ---------------------------------------------------------------- joins

@@ -113,3 +113,25 @@ def test_hotspots_over_batches(spark, tmp_path):
     run()
     row = jobs.clusters_of(merge.read_version(spark, root)).first()
     assert (row["hotspot_count"], row["max_frp"], row["mean_frp"], row["cell_lat"]) == (8, 13.0, 23 / 8, 1.0)
+
+
+def test_late_polls_of_a_feed(spark, tmp_path):
+    source, out, check = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "c")
+    polls = lambda rows: spark.createDataFrame(rows, "feed_url string, seq bigint, ok boolean").coalesce(1).write.mode("append").parquet(str(source))
+    run = lambda: jobs.feed_health_stream(jobs.read_files(spark, str(source), "feed_url string, seq bigint, ok boolean"), out, check)
+    errors = lambda: {r["feed_url"]: r["error_count"] for r in jobs.latest_health(spark, out).collect()}
+    polls([("a", 10, True), ("b", 5, False), ("b", 7, False)])
+    run()
+    assert errors() == {"a": 0, "b": 2}
+    # Failures before the last success don't count; a late success takes back the failures before it.
+    polls([("a", 8, False), ("a", 9, False), ("b", 6, True)])
+    run()
+    assert errors() == {"a": 0, "b": 1}
+
+
+def test_ids_are_never_forgotten_unless_asked(spark, tmp_path):
+    source, out, check = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "c")
+    for k, day in enumerate(["2024-01-01", "2024-03-01", "2024-06-01"]):
+        land(spark, source, [("same", 1, 1.0, f"{day} 00:00:00", k), (f"only{k}", 1, 1.0, f"{day} 00:00:00", k)], "1")
+        jobs.unique_items(jobs.read_files(spark, str(source), KIND), ["id"], out, check)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["only0", "only1", "only2", "same"]
