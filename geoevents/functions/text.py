@@ -225,6 +225,7 @@ def conflict_title(subtype: Column, event_type: Column, location: Column, countr
 
 def meta_image(page_url: Column, page: Column) -> Column:
     """Image named by the page's og:image or twitter:image tag, made absolute."""
+    # The names and patterns of image tags.
     tag = (r"(?i)<meta\b[^>]*?(?:property|name)\s*=\s*[\"'](?:og:image(?::secure_url)?|og:image:url|twitter:image(?::src)?)[\"'][^>]*>")
     contents = F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(0)),
                            lambda t: F.regexp_extract(t, r"(?i)\bcontent\s*=\s*[\"']([^\"']+)[\"']", 1))
@@ -236,11 +237,26 @@ def absolute_url(base: Column, link: Column) -> Column:
     """A link as seen from its page."""
     scheme, host = F.regexp_extract(base, _URL, 1), F.regexp_extract(base, _URL, 2)
     root = F.concat(scheme, F.lit("://"), host)
-    folder = F.regexp_replace(F.regexp_extract(base, _URL, 3), "[^/]*$", "")
+    path = F.regexp_extract(base, _URL, 3)
+    folder = F.regexp_replace(path, "[^/]*$", "")
     return (F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), link)
             .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-            .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-            .when(link.isNotNull(), F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+            .when(F.startswith(link, F.lit("/")), F.concat(root, _without_dots(link)))
+            # A query keeps the page's path, a fragment its query as well; an empty link is the page itself.
+            .when(F.startswith(link, F.lit("?")), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), link))
+            .when((link == "") | F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+            .when(link.isNotNull(), F.concat(root, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link)))))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its steps "." and ".."; query and fragment stay as they are."""
+    rest = F.regexp_extract(path, r"[?#].*$", 0)
+    steps = F.split(F.regexp_replace(path, r"[?#].*$", ""), "/")
+    # A trailing dot step leaves a slash.
+    ended = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    walked = F.aggregate(F.slice(ended, 2, F.greatest(F.size(ended) - 1, F.lit(0))), F.array().cast("array<string>"), lambda done, step: (
+        F.when(step == ".", done).when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(step)))))
+    return F.when(F.contains(path, F.lit("./")) | F.rlike(path, F.lit(r"/\.{1,2}([?#]|$)")), F.concat(F.lit("/"), F.array_join(walked, "/"), rest)).otherwise(path)
 
 
 def entry_image(media: Column, enclosures: Column, summary: Column) -> Column:

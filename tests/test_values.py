@@ -219,6 +219,16 @@ def test_row_rules(spark):
         VA.reject_batch(rows)
 
 
+def test_links_as_seen_from_their_page(spark):
+    base = "https://h.test/a/b/page?x=1#top"
+    want = {
+        "../c.png": "https://h.test/a/c.png", "./c.png": "https://h.test/a/b/c.png", "c/../d.png?q=../x": "https://h.test/a/b/d.png?q=../x", "../../../c": "https://h.test/c", "?y=2": "https://h.test/a/b/page?y=2",
+        "#low": "https://h.test/a/b/page?x=1#low", "/r/./s": "https://h.test/r/s", "//o.test/z": "https://o.test/z", "http://q.test/": "http://q.test/", "plain.png": "https://h.test/a/b/plain.png", "..": "https://h.test/a/",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "link string").select("link", X.absolute_url(F.lit(base), F.col("link")).alias("full")).collect()
+    assert {r["link"]: r["full"] for r in rows} == want
+
+
 def test_repeated_new_keys_give_one_row(spark):
     stored = spark.createDataFrame([("a", 1, "x")], "k string, v int, w string")
     new = spark.createDataFrame([("a", 2, None), ("a", 3, None), ("b", 4, "y"), ("b", 5, "z")], "k string, v int, w string")
