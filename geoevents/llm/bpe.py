@@ -11,8 +11,8 @@ and raise an error; a null list of ids decodes to no bytes.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -26,7 +26,7 @@ from .words import C1, hashes, mix
 NAME = "op4_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A worker remembers at most so many pre-tokens of at most so many characters; the rest is worked out again.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 
 
 class PerfectHash:
@@ -80,6 +80,28 @@ class PerfectHash:
         return self.key_at[np.where(shift < 0, -1 - shift, self.slots(h, np.maximum(shift, 0)))]
 
 
+class Decoder:
+    """The bytes of every token, end to end."""
+
+    def __init__(self, ranks: dict[bytes, int], size: int) -> None:
+        by_id = [b""] * size
+        for t, i in ranks.items():
+            by_id[i] = t
+        self.length = np.fromiter(map(len, by_id), dtype=np.int64, count=size)
+        self.offset = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all lists of ids in a row and the number of bytes of each list."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        source = np.repeat(self.offset[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        limits = ends[np.concatenate([[0], np.cumsum(counts)])]
+        return self.bytes[source], np.diff(limits)
+
+
 class Codec:
     def __init__(self, lines: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
@@ -87,48 +109,141 @@ class Codec:
         self.ids = np.fromiter(self.ranks.values(), dtype=np.int64, count=len(self.tokens))
         self.perfect = PerfectHash(self.tokens)
         size = int(self.ids.max()) + 1 if len(self.ids) else 0
-        by_id = [b""] * size
-        for t, i in self.ranks.items():
-            by_id[i] = t
-        self.length = np.fromiter(map(len, by_id), dtype=np.int64, count=size)
-        self.offset = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self.decoder = Decoder(self.ranks, size)
         self.pattern = pattern
+        self.size = size
+        ranks = self.ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        # Tokens by the two tokens they can be joined from.
+        joins = {ranks[t[:k]] * size + ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.join_keys = np.sort(np.fromiter(joins, dtype=np.int64, count=len(joins)))
+        self.join_ids = np.array([joins[k] for k in self.join_keys.tolist()], dtype=np.int64)
+        self.doubles = self.joined(np.repeat(self.single, 256), np.tile(self.single, 256))
         self.memory: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memory": {}}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece that is no token as a whole."""
-        n = len(piece)
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each two neighbours make, -1 if none."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.join_keys, keys), len(self.join_keys) - 1)
+        return np.where(self.join_keys[at] == keys, self.join_ids[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pieces that are no tokens as a whole, all merged side by side.
+
+        The bytes of all pieces are one linked list with a break after each piece. A heap holds the ranks of joins that are open; the
+        lowest rank is taken and joined wherever it stands, leftmost first where two places overlap. Pieces don't touch, so each goes through
+        the joins it would go through alone, as long as no join opens one of a lower rank; where one does, the piece is merged on its own.
+        """
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        n = len(data)
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        ends = np.cumsum(sizes)
+        part = self.single[data]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[sizes > 0] - 1], before[(ends - sizes)[sizes > 0]] = -1, -1
+        pair = np.full(n, -1, dtype=np.int64)
+        inner = np.flatnonzero(after >= 0)
+        pair[inner] = self.doubles[data[inner] * 256 + data[inner + 1]]
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            ranks = pair[places]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            heads = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+            for r, some in zip(ranks[heads].tolist(), np.split(places, heads[1:])):
+                if r in waiting:
+                    waiting[r].append(some)
+                else:
+                    waiting[r] = [some]
+                    heappush(heap, r)
+
+        if len(open_ := np.flatnonzero(pair >= 0)):
+            note(open_)
+        odd: set[int] = set()
+        while heap:
+            r = heappop(heap)
+            lists = waiting.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[pair[at] == r]
+            if not len(at):
+                continue
+            other = after[at]
+            touching = other[:-1] == at[1:]
+            if touching.any():
+                k = np.arange(len(at))
+                alternate = (k - np.maximum.accumulate(np.where(np.concatenate(([True], ~touching)), k, 0))) % 2 == 0
+                at, other = at[alternate], other[alternate]
+            beyond = after[other]
+            part[at], part[other] = r, -1
+            pair[at] = pair[other] = -1
+            after[at] = beyond
+            more = beyond >= 0
+            before[beyond[more]] = at[more]
+            ahead = before[at]
+            left = np.unique(np.concatenate([at[more], ahead[ahead >= 0]]))
+            if len(left):
+                pair[left] = new = self.joined(part[left], part[after[left]])
+                if len(left := left[new >= 0]):
+                    note(left)
+                    if new[new >= 0].min() < r:
+                        odd |= set(owner[left[pair[left] < r]].tolist())
+        kept = part >= 0
+        ids, counts = part[kept].tolist(), np.bincount(owner[kept], minlength=len(pieces)).tolist()
+        out, start = [], 0
+        for k, count in enumerate(counts):
+            out.append(tuple(ids[start : start + count]) if k not in odd else tuple(self.merge_alone(pieces[k])))
+            start += count
+        return out
+
+    def merge_alone(self, piece: bytes) -> list[int]:
+        """The same for one piece."""
+        n, rank = len(piece), self.ranks.get
         part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        heap = [(r, i, piece[i : i + 2]) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        # pair[i]: rank of the part at i with the next one, -1 if they make no token. Heap entries order by rank, then by place.
+        pair = [rank(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        heapify(heap)
         while heap:
-            _, i, both = heapq.heappop(heap)
+            r, i = divmod(heappop(heap), n)
+            if pair[i] != r:
+                continue  # one of the two has changed since
             j = after[i]
-            # Stale unless both neighbours still are what they were when this was noted.
-            if part[i] is None or j < 0 or part[i] + part[j] != both:
-                continue
-            part[i], part[j] = both, None
-            after[i] = k = after[j]
-            if k >= 0:
+            k = after[i] = after[j]
+            part[i] = both = part[i] + part[j]
+            part[j], pair[i], pair[j] = None, -1, -1
+            if k < n:
                 before[k] = i
-                if (r := ranks.get(both + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, both + part[k]))
-            if (k := before[i]) >= 0 and (r := ranks.get(part[k] + both)) is not None:
-                heapq.heappush(heap, (r, k, part[k] + both))
+                pair[i] = new = rank(both + part[k], -1)
+                if new >= 0:
+                    heappush(heap, new * n + i)
+            k = before[i]
+            if k >= 0:
+                pair[k] = new = rank(part[k] + both, -1)
+                if new >= 0:
+                    heappush(heap, new * n + k)
+        ranks = self.ranks
         return [ranks[p] for p in part if p is not None]
 
     def learn(self, new: list[str], into: dict[str, tuple[int, ...]]) -> None:
         """Ids of distinct pre-tokens."""
         keys = [t.encode("utf-8", "surrogatepass") for t in new]
         found = self.perfect.lookup(keys)
+        rest: list[tuple[str, bytes]] = []
         for t, key, i in zip(new, keys, found.tolist()):
-            into[t] = (int(self.ids[i]),) if self.tokens[i] == key else tuple(self.merge(key))
+            token = self.tokens[i]
+            if token == key:
+                into[t] = (self.ranks[token],)
+            else:
+                rest.append((t, key))
+        into.update(zip((t for t, _ in rest), self.merge([key for _, key in rest])))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
@@ -136,10 +251,12 @@ class Codec:
 
         split = regex.compile(self.pattern).findall
         cut = [split(t) for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
         known = self.memory
-        new = [t for t in set(chain.from_iterable(cut)) if t not in known]
+        here = set(chain.from_iterable(cut))
+        if len(known) > REMEMBERED:
+            # What comes again is worth keeping; most others are seen once.
+            known = self.memory = {t: known[t] for t in here if t in known}
+        new = [t for t in here if t not in known]
         if new:
             self.learn(new, known)
         flat: list[int] = []
@@ -153,16 +270,6 @@ class Codec:
                 del known[t]
         return ids, counts
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all lists of ids in a row and the number of bytes of each list."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
-            raise ValueError("an id is not in the vocabulary")
-        sizes = self.length[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(self.offset[ids] - ends[:-1], sizes) + np.arange(ends[-1])
-        limits = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return self.bytes[source], np.diff(limits)
-
 
 def codec(spark: SparkSession, path: str, pattern: str):
     """The vocabulary of ``path``, broadcast. The file is read on the driver alone."""
@@ -218,7 +325,8 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, pattern: str | Non
     import public_tokenizers
 
     shared = codec(docs.sparkSession, vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
-    return docs.withColumn("ids", encoded("text", shared)).withColumn("decoded", decoded("ids", shared))
+    tables = docs.sparkSession.sparkContext.broadcast(shared.value.decoder)
+    return docs.withColumn("ids", encoded("text", shared)).withColumn("decoded", decoded("ids", tables))
 
 
 def digests(tokens: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_perfect_hash_is_minimal_and_foreign_ids_are_refused():
     assert (codec.perfect.lookup(codec.tokens) == np.arange(len(codec.tokens))).all()
     assert len(set(codec.perfect.key_at.tolist())) == codec.perfect.n
     with pytest.raises(ValueError):
-        codec.decode(np.array([10**7]), np.array([1]))
+        codec.decoder.decode(np.array([10**7]), np.array([1]))
 
 
 def test_sharding(spark):
