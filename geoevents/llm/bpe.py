@@ -282,7 +282,7 @@ def encoded(text: Column | str, shared) -> Column:
 
     def encode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parts = []
-        for piece, last in pieces(arrays, 4 << 20):
+        for piece, last in pieces(arrays, 2 << 20):
             ids, counts = shared.value.encode(piece.to_pylist())
             parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32())))
             if last:
