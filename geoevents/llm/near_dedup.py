@@ -6,7 +6,7 @@ is one shingle, one without words has an empty set and no links. Texts are linke
 1. Equal sets form classes, which go on as one. Each class keeps its ``K`` smallest hashes.
 2. Values kept by one class alone cannot link. A class goes on if enough of its kept values are shared to reach the similarity; the
    binomial spread of a sketch is allowed for by ``SPREAD`` standard deviations.
-3. The classes that are left keep their ``K_LARGE`` smallest hashes (mostly the whole set). Values are put in order of rarity; to overlap enough,
+3. The classes that are left take part with their whole sets. Values are put in order of rarity over all these sets; to overlap enough,
    two sets must share one among their rarest few, the fewer the more alike their sizes. Only those go to the inverted lists.
 4. In every list the class with fewest values of its own is compared with all others. Members linked to it are in one component, so
    pairs among them are not listed; only members not linked to it meet the rest of the list. A pile of copies thus gives pairs in proportion to its size.
@@ -32,7 +32,7 @@ from .words import SPACED, find_words, shingle_sets
 
 NAME = "op10_near_dedup"
 SHINGLE, PERCENT = 4, 80
-K, K_LARGE, SPREAD = 64, 1024, 4.0
+K, SPREAD = 64, 4.0
 #: Sizes within this factor share a bucket.
 BUCKET = 1.02
 
@@ -84,18 +84,16 @@ def able(classes: DataFrame) -> DataFrame:
 
 def lists(sets: DataFrame) -> DataFrame:
     """Entries of the inverted lists: v, digest, n, own (share of values no other set has), most (largest partner it can serve), bucket."""
-    kept = sets.select("digest", "n", F.least(F.size("held"), F.lit(K_LARGE)).alias("m"), F.explode(F.slice("held", 1, K_LARGE)).alias("v"))
+    kept = sets.select("digest", "n", F.explode("held").alias("v"))
     shared = kept.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     met = kept.join(shared, "v")
-    # At most K_LARGE rows per set.
+    # At most the shingles of one text.
     by_set = Window.partitionBy("digest")
     ranked = met.withColumn("common", F.count(F.lit(1)).over(by_set)).withColumn("rank", F.row_number().over(by_set.orderBy("f", "v")))
-    place = F.col("m") - F.col("common") + F.col("rank") - 1
-    place = F.when(F.col("m") == F.col("n"), place.cast("double")).otherwise(place * F.col("n") / F.col("m"))
-    slack = F.when(F.col("n") <= small_enough(K_LARGE), 0.0).otherwise(SPREAD * math.sqrt(0.16 / K_LARGE)) * F.col("n")
+    place = F.col("n") - F.col("common") + F.col("rank") - 1
     # Sizes a and b need an overlap of PERCENT / (100 + PERCENT) * (a + b); a value at this place leaves at most n - place of it.
-    most = (F.col("n") - F.greatest(place - slack, F.lit(0.0))) * (100 + PERCENT) / PERCENT - F.col("n")
-    entries = ranked.select("v", "digest", "n", ((F.col("m") - F.col("common")) / F.col("m")).alias("own"), most.alias("most"), bucket(F.col("n")).alias("bucket"))
+    most = (F.col("n") - place) * (100 + PERCENT) / PERCENT - F.col("n")
+    entries = ranked.select("v", "digest", "n", ((F.col("n") - F.col("common")) / F.col("n")).alias("own"), most.alias("most"), bucket(F.col("n")).alias("bucket"))
     return entries.filter(F.col("most") * 100 >= F.col("n") * PERCENT)
 
 

@@ -127,6 +127,19 @@ def test_a_pile_of_near_copies_gives_few_pairs(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, 4)
 
 
+def test_long_texts_inside_longer_ones_are_linked(spark):
+    rng = random.Random(8)
+    rows = []
+    for shingles in [900, 1024, 5000, 20000]:
+        for percent in [105, 110, 117, 125, 126]:
+            text = words(rng, shingles + 3, 10**9).split()
+            more = words(rng, shingles * percent // 100 - shingles, 10**9).split()
+            rows += [(len(rows) + 1, " ".join(text)), (len(rows), " ".join(text + more))]
+    out = near_dedup.grouped(documents(spark, rows)).collect()
+    assert sum(r["kept"] for r in out) == 4 * (4 + 2)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, 4)
+
+
 def test_near_components_of_nothing(spark):
     assert near_dedup.grouped(documents(spark, [])).count() == 0
     assert [r["kept"] for r in near_dedup.grouped(documents(spark, [None, "", None])).collect()] == [True] * 3
