@@ -187,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         _, z = odds(F.col(f"pos{k}"), F.col(f"neg{k}"), up[k], down[k])
         precise = F.col(f"pos{k}") >= LEAST_PRECISION * (F.col(f"pos{k}") + F.col(f"neg{k}") + 0.5)
         shown = counts.filter(precise & (F.col(f"pos{k}") >= LEAST_SUPPORT)).select("family", "h", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-        rows = shown.orderBy(F.col("z").desc(), "family", "h").limit(FEATURES).collect()
-        for family in range(3):
-            induced.append((family, np.unique(np.array([r["h"] for r in rows if r["family"] == family], dtype=np.int64).view(np.uint64))))
+        for family in range(1 + len(BEGINNINGS)):
+            rows = shown.filter(F.col("family") == family).orderBy(F.col("z").desc(), "h").limit(FEATURES).collect()
+            induced.append((family, np.unique(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))))
     voters = Voters(induced)
     value, z = odds(F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1"), sum(up), sum(down))
     strong = counts.select("family", "h", value.alias("value"), z.alias("z"), (F.col("pos0") + F.col("pos1")).alias("pos")).filter((F.col("z") >= LEAST_Z) & (F.col("value") >= LEAST_ODDS) & (F.col("pos") >= LEAST_SUPPORT))

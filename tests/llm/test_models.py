@@ -71,6 +71,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(empty) == 1 and empty.pop() < 0.5
 
 
+def test_every_family_of_either_half_votes(spark, monkeypatch):
+    rows, labels, _ = toxic_corpus(spark)
+    monkeypatch.setattr(toxicity, "FEATURES", 3)
+    induced = toxicity.fit(documents(spark, rows), labels).voters.induced
+    assert [family for family, _ in induced] == [0, 1, 2, 3] * 2
+    assert all(len(table) == 3 for _, table in induced)
+
+
 def test_toxicity_without_labels_and_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     docs = documents(spark, ["you idiot moron", "fine words", None])
