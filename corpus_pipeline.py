@@ -28,9 +28,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    dropped = near_dedup.grouped(docs.select("doc_id", "text"), NEAR_SHINGLE).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The row with the smallest id of each group of near copies."""
+    return near_dedup.deduplicated(docs, NEAR_SHINGLE)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import pieces, saved
+from .exact_dedup import located
 from .words import SPACED, find_words, shingle_sets
 
 NAME = "op10_near_dedup"
@@ -48,14 +50,14 @@ def small_enough(k: int) -> int:
     return k * PERCENT // 100
 
 
-def sets_of(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """(doc_id, digest, n, held): digest of the set, its size, its K smallest hashes or all of them in rising order."""
+def sets_of(docs: DataFrame, shingle: int, whole: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest, n, held, *carry): digest of the set, its size, its K smallest hashes or all of them in rising order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
             for array, _ in pieces(iter([batch.column("text")])):
-                ids = batch.column("doc_id").slice(start, len(array))
+                ids, *others = (batch.column(c).slice(start, len(array)) for c in ("doc_id", *carry))
                 start += len(array)
                 # 63 bits, so that signed comparison keeps the order.
                 sets = [np.unique(s >> np.uint64(1)) for s in shingle_sets(find_words(array, SPACED), shingle)]
@@ -66,11 +68,14 @@ def sets_of(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
                     [
                         ids, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                        *others,
                     ],
-                    names=["doc_id", "digest", "n", "held"],
+                    names=["doc_id", "digest", "n", "held", *carry],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "doc_id long, digest binary, n long, held array<bigint>")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+    kinds = "".join(f", {c} {kind}" for c, kind in taken.select(*carry).dtypes)
+    return taken.mapInArrow(work, f"doc_id long, digest binary, n long, held array<bigint>{kinds}")
 
 
 def able(classes: DataFrame) -> DataFrame:
@@ -144,9 +149,12 @@ def links(sets: DataFrame) -> DataFrame:
     return first.union(confirmed(rest, sets))
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    rows = saved(sets_of(docs, shingle, whole=False), "sketches")
+def placed_rows(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, *carry): doc_id, n, *carry, component, root, alone.
+
+    ``component`` tells components apart, also where ids repeat; ``root`` is the smallest id in it.
+    """
+    rows = saved(sets_of(docs, shingle, whole=False, carry=carry), "sketches")
     some = rows.filter("n > 0 and doc_id is not null")
     classes = saved(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("held").alias("held")), "classes")
     chosen = saved(able(classes), "able")
@@ -158,12 +166,35 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     roots = components(found, "a", "b").toDF("digest", "root")
     named = roots.join(chosen.select("digest", "rep"), "digest")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = named.join(least, "root").select("digest", "least")
-    home = classes.select("digest", "rep").join(linked, "digest", "left").select("digest", F.coalesce("least", "rep").alias("root"))
-    placed = rows.select("doc_id", "n", "digest").join(home, "digest", "left")
+    linked = named.join(least, "root").select("digest", "least", F.col("root").alias("component"))
+    home = classes.select("digest", "rep").join(linked, "digest", "left").select("digest", F.coalesce("component", "digest").alias("component"), F.coalesce("least", "rep").alias("root"))
+    placed = rows.select("doc_id", "n", "digest", *carry).join(home, "digest", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     root = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (alone | (F.col("doc_id") == root)).alias("kept"))
+    return placed.select("doc_id", "n", *carry, "component", root.alias("root"), alone.alias("alone"))
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    placed = placed_rows(docs, shingle)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("alone") | (F.col("doc_id") == F.col("root"))).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one per component, of the smallest id and, where it repeats, the first place."""
+    marked = docs
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:
+        marked = saved(docs, "content")
+    rows = saved(placed_rows(located(marked), shingle, ("file", "row")).filter("not alone"), "placed")
+    # Only components whose smallest id repeats need a choice by place.
+    firsts = rows.filter("doc_id = root").groupBy("component").agg(F.min(F.struct("file", "row")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    later = rows.filter("doc_id = root").join(firsts, "component").filter((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
+    dropped = rows.filter("doc_id <> root").select("file", "row").union(later.select("file", "row")).toDF("_file", "_row")
+    placed = marked.select("*", F.col("_metadata.file_path").alias("_at_file"), F.col("_metadata.row_index").alias("_at_row"))
+    gone = (F.col("_at_file") == F.col("_file")) & (F.col("_at_row") == F.col("_row"))
+    return placed.join(dropped, gone, "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,20 @@ def test_each_stage_against_plain_loops(spark, corpus, tmp_path):
     assert len(clean) < len(near)
 
 
+def test_near_copies_go_row_by_row_where_ids_repeat(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 100, 10_000) for _ in range(4))
+    rows = [(1, a), (7, a + " more"), (7, b), (8, c), (8, c + " more"), (9, c + " again"), (8, d), (6, d + " more"), (None, a), (None, a + " more"), (3, None), (3, "")]
+    want = sorted([a, b, d + " more", a, a + " more", "", ""])
+    for docs in (documents(spark, rows, extra=True), written(spark, documents(spark, rows, extra=True).repartition(3), tmp_path)):
+        out = corpus_pipeline.without_near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        found = out.collect()
+        chosen = [r["text"] for r in found if (r["text"] or "").startswith(c)]
+        assert len(chosen) == 1 and chosen[0] in (c, c + " more")
+        assert sorted(r["text"] or "" for r in found if not (r["text"] or "").startswith(c)) == want
+
+
 def test_pipeline_runs_through(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0]).collect()
     assert all(r["n_tokens"] == len(r["ids"]) for r in out) and 100 < len(out) < 300
