@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "secrets", "decontaminate", "bpe", "exact_dedup", "sharding", "licenses", "html_text", "quality", "near_dedup", "merkle"]
+MODULES = ["toxicity", "secrets", "decontaminate", "bpe", "exact_dedup", "sharding", "licenses", "html_text", "quality", "near_dedup", "merkle", "token_counts", "spelling"]
 
 for _name in MODULES:
     _module = importlib.import_module(f"{__package__}.{_name}")
