@@ -60,10 +60,10 @@ def people_in_radius(circles: DataFrame, cells: DataFrame) -> DataFrame:
     Circles visit the few grid cells they can reach; the population keeps its place. Sums combine map-side.
     """
     reach = max(HAZARD_RADIUS_KM.values())
-    probe = reached_cells(circles, reach)
+    probe = reached_cells(circles, reach).withColumn("circle_key", F.xxhash64("lat", "lng", "radius_km"))
     build = home_cell(population_cells(cells).filter("pop > 0").select("pop", "lat", "lng"), reach).select(
         "band", "cell", "pop", F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng"), F.xxhash64("lat", "lng").alias("cell_key"))
-    met = block_join(probe, build, ["band", "cell"], "cell_key")
+    met = block_join(probe, build, ["band", "cell"], "cell_key", "circle_key")
     inside = G.haversine_km(F.col("lat"), F.col("lng"), F.col("cell_lat"), F.col("cell_lng"), G.EARTH_MEAN_KM, wrap=True) <= F.col("radius_km")
     keys = ["lat", "lng", "radius_km"]
     sums = met.filter(inside).groupBy(*keys).agg(F.sum("pop").alias("people"))

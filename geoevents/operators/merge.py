@@ -6,9 +6,6 @@ aggregation (``max_by``), so a key repeated very often in the input is reduced b
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +14,7 @@ from ..schema import LAYERS
 from .dedup import last_wins
 from .filters import MAX_FEED_ERRORS
 from .links import DEFAULT_LOCAL_SIGNIFICANCE, locality
-
-#: Versions of a table that stay readable after a new one is written.
-KEPT_VERSIONS = 3
+from .tables import current_version, load_first, read_version, write_version  # noqa: F401  (snapshots, beside the row changes)
 
 
 def upsert_full(stored: DataFrame, incoming: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -132,63 +127,6 @@ def record_batch(spark: SparkSession, source: str, pulled_at: Column, payload: C
     return spark.range(1).select(F.uuid().alias("batch_id"), F.lit(source).alias("source"), pulled_at.alias("pulled_at"), payload.alias("payload"))
 
 
-def write_version(rows: DataFrame, root: str, meta: dict | None = None) -> int:
-    """A new complete version, then the pointer to it: readers see the old one or the whole new one.
-
-    The data go to a folder of their own that the pointer names, so what a crashed attempt left is in nobody's way. Versions before
-    the last ``KEPT_VERSIONS`` are removed, with what crashed attempts left of them. One writer at a time.
-    """
-    spark = rows.sparkSession
-    version = (_pointer(spark, root) or {"version": 0})["version"] + 1
-    folder = f"v{version:08d}-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{root}/{folder}")
-    stored = spark.read.parquet(f"{root}/{folder}")
-    note = json.dumps({**(meta or {}), "version": version, "eventCount": stored.count()})
-    spark.createDataFrame([(version, folder, note)], "version int, folder string, meta string").coalesce(1).write.mode("append").json(f"{root}/_pointer")
-    files, base = _files(spark, root)
-    for status in files.listStatus(base):
-        name = status.getPath().getName()
-        if name.startswith("v") and int(name[1:9]) <= version - KEPT_VERSIONS:
-            files.delete(status.getPath(), True)
-    return version
-
-
-def _files(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path and the path, as Hadoop's objects."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _pointer(spark: SparkSession, root: str) -> dict | None:
-    files, where = _files(spark, f"{root}/_pointer")
-    if not files.exists(where):
-        return None
-    # One row per version written.
-    row = spark.read.schema("version int, folder string, meta string").json(f"{root}/_pointer").orderBy(F.desc("version")).first()
-    return None if row is None else {"version": row["version"], "folder": row["folder"], "meta": json.loads(row["meta"])}
-
-
-def current_version(spark: SparkSession, root: str) -> dict | None:
-    """Number and notes of the newest complete version."""
-    newest = _pointer(spark, root)
-    return None if newest is None else {"version": newest["version"], **newest["meta"]}
-
-
-def read_version(spark: SparkSession, root: str) -> DataFrame | None:
-    newest = _pointer(spark, root)
-    return None if newest is None else spark.read.parquet(f"{root}/{newest['folder']}")
-
-
-def load_first(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, str]:
-    """The first readable snapshot in the given order (live copy before fallback, or the other way round)."""
-    for root in roots:
-        rows = read_version(spark, root)
-        if rows is not None:
-            return rows, root
-    raise FileNotFoundError(f"no readable snapshot in {roots}")
-
-
 # Snake or upper case column names to the served names.
 SERVED_NAMES = {
     "id": "id", "source": "source", "source_url": "sourceUrl", "image_url": "imageUrl", "layer_id": "layerId", "subtype": "subtype", "title": "title",

@@ -72,7 +72,7 @@ def near_join(newer: DataFrame, older: DataFrame, km: float, lag_us: int, keys:
     late = F.floor((F.col("t_us") - min_lag_us) / span)
     probe = rename(reached_cells(usable(newer), km).withColumn("bucket", F.explode(F.array(late, late - 1))), "a")
     build = rename(home_cell(usable(older), km).withColumn("bucket", F.floor(F.col("t_us") / span)), "b")
-    met = block_join(probe, build, [*keys, "bucket", "band", "cell"], "id_b").drop("bucket", "band", "cell")
+    met = block_join(probe, build, [*keys, "bucket", "band", "cell"], "id_b", "id_a").drop("bucket", "band", "cell")
     lag = F.col("t_us_a") - F.col("t_us_b")
     distance = G.haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     inside = met.filter((lag >= min_lag_us) & (lag <= lag_us)).withColumn("km", distance).filter(F.col("km") <= km)
@@ -124,13 +124,15 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     # The small margin keeps exact thresholds such as 0.4·5 on the safe side of rounding.
     keep = size - F.ceil(threshold * size - 1e-9).cast("int") + 1
     prefix = ordered.select("set_id", size.alias("size"), F.posexplode(F.slice("ranked", 1, keep)).alias("pos", "r")).select("set_id", "size", "pos", F.col("r.token").alias("token"))
+    # Both sides of the join and the count of its keys read this.
+    prefix = cut(prefix)
     left = prefix.toDF("set_a", "size_a", "pos_a", "token")
     right = prefix.toDF("set_b", "size_b", "pos_b", "token")
     lengths = (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-9)
     # Where two sets first meet, only the words from there on can be shared; a pair that cannot reach the threshold any more is no candidate.
     ahead = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     enough = ahead >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    met = block_join(left, right, ["token"], "set_b").filter((F.col("set_a") < F.col("set_b")) & lengths & enough).select("set_a", "set_b").distinct()
+    met = block_join(left, right, ["token"], "set_b", "set_a").filter((F.col("set_a") < F.col("set_b")) & lengths & enough).select("set_a", "set_b").distinct()
     tokens = sets.select("set_id", "tokens")
     both = met.join(tokens.toDF("set_a", "tokens_a"), "set_a").join(tokens.toDF("set_b", "tokens_b"), "set_b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -169,7 +171,7 @@ def similar_rows(rows: DataFrame, tokens: Column, threshold: float, lag_us: int)
     newer = (member.toDF("set_a", "id_a", "t_us_a").join(routes, "set_a").withColumn("bucket", F.explode(F.array(late, late - 1))).drop("set_a"))
     older = member.toDF("set_b", "id_b", "t_us_b").withColumn("bucket", F.floor(F.col("t_us_b") / lag_us))
     lag = F.col("t_us_a") - F.col("t_us_b")
-    met = block_join(newer, older, ["set_b", "bucket"], "id_b").withColumn("lag_us", lag)
+    met = block_join(newer, older, ["set_b", "bucket"], "id_b", "id_a").withColumn("lag_us", lag)
     return met.filter((lag >= 0) & (lag <= lag_us) & ((lag > 0) | (F.col("id_a") < F.col("id_b")))).select("id_a", "id_b", "lag_us")
 
 

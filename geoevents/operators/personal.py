@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,15 @@ from ..functions import score as M
 from ..functions import text as X
 from ..functions import times as C
 from ..schema import CATEGORIES, layer_category
-from ..session import cut
 from .ranking import click_cap, first_k, last_interactions, latest_feedback, saved_since
+from .shortlists import PER_CATEGORY
+from .vectors import weighted_sum
 
-#: Cones of clusters in one list, and lists that may be broadcast.
-CONES, BROADCAST_LISTS = 1_000, 10
 # Signal weights, thresholds and feed weights.
 SEED_WEIGHT = 1.0
 SIGNAL_WEIGHTS = {"more": 2.0, "save": 1.5, "source": 1.0, "open": 0.3}
 LESS_WEIGHT = 2.0
 VIEW_MULTIPLIER = {"feed": 1.5, "explore": 1.0, "headlines": 0.7}
-W_SIMILARITY, W_INTEREST, W_SIGNIFICANCE, W_FRESHNESS, W_AVOID = 0.55, 0.20, 0.15, 0.10, 0.40
-MIN_SIMILARITY = 0.25
-PER_CATEGORY = 4
 SIMILAR_REASON = 0.55
 LIKED_LIMIT = 30
 RERANK_POOL, RERANK_THRESHOLD = 20, 0.2
@@ -61,30 +60,24 @@ def signal_weights(actions: DataFrame, as_of: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- vectors
 
-def weighted_sum(rows: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
-    """Sum of weighted vectors per key. Summed by dimension, which combines map-side: no group gathers its vectors."""
-    weight = F.lit(1.0) if weight is None else weight
-    cells = rows.select(*keys, weight.alias("_w"), F.posexplode(vector).alias("dim", "x"))
-    sums = cells.groupBy(*keys, "dim").agg(F.sum(F.col("_w") * F.col("x")).alias("s"))
-    # At most one small row per dimension.
-    listed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("l")) if keys else sums.agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("l"))
-    return listed.select(*keys, F.transform("l", lambda c: c["s"]).alias("vector"))
-
-
 def unit_mean(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """Direction of the mean vector per key; keys whose mean is zero have none."""
     return weighted_sum(rows, keys, vector).withColumn("vector", Y.unit(F.col("vector"))).filter("vector is not null")
 
 
 def centered(vectors: DataFrame, sample: DataFrame) -> DataFrame:
-    """Vectors minus the mean of the sample's vectors, at unit length. Keeps sample members and interest seeds. Input: key, vector."""
-    members = vectors.join(sample.select("key").distinct(), "key", "left_semi")
-    cells = members.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"))
-    mean = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda c: c["m"]).alias("mean"))
-    kept = members.unionByName(vectors.filter(F.startswith("key", F.lit("interest:"))))
-    shifted = kept.withColumn("mean", mean.scalar())
-    moved = F.when(F.size("mean") > 0, Y.minus(F.col("vector"), F.col("mean"))).otherwise(F.col("vector"))
-    return shifted.select("key", Y.unit(moved).alias("vector")).filter("vector is not null")
+    """Vectors minus the mean of the sample's vectors, at unit length. Keeps sample members and interest seeds. Input: key, vector.
+
+    Where no vector belongs to the sample there is no mean, and all vectors come back as they are.
+    """
+    marked = vectors.join(sample.select("key").distinct().withColumn("_member", F.lit(True)), "key", "left")
+    # The last element counts the members.
+    sums = weighted_sum(marked.filter("_member").select(F.concat("vector", F.array(F.lit(1.0))).alias("v")), [], "v")
+    mean = sums.select(F.transform(F.slice("vector", 1, F.size("vector") - 1), lambda x: x / F.element_at("vector", -1)).alias("mean")).scalar()
+    shifted = marked.withColumn("_mean", mean)
+    kept = shifted.filter(F.col("_mean").isNull() | F.col("_member") | F.startswith("key", F.lit("interest:")))
+    moved = F.when(F.col("_mean").isNull(), F.transform("vector", lambda x: x.cast("double"))).otherwise(Y.unit(Y.minus(F.col("vector"), F.col("_mean"))))
+    return kept.select("key", moved.alias("vector")).filter("vector is not null")
 
 
 def interest_keys(spark: SparkSession, catalogue: list[tuple]) -> DataFrame:
@@ -136,86 +129,8 @@ def taste_vectors(interests: DataFrame, seeds: DataFrame, signals: DataFrame, ve
     return direction(followed.unionByName(liked), "taste").join(direction(avoided, "avoid"), "user_id", "full")
 
 
-# ---------------------------------------------------------------- similar events
-
-def similar_above(users: DataFrame, items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """User–item pairs whose dot product reaches the threshold. users: user_id, vector; items: key, cluster, vector (unit length).
-
-    A cluster lies in a cone around its centre: a user further from the cone than the threshold allows cannot match any of its items,
-    so only users near enough visit it. Each visit is cut into blocks of users and items, which a task multiplies at once;
-    only matches leave the task.
-    """
-    centers = unit_mean(items, ["cluster"]).withColumnRenamed("vector", "center")
-    # Widest angle from the centre, with a margin for rounding.
-    cones = items.join(centers, "cluster").groupBy("cluster").agg(
-        F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min(Y.dot(F.col("vector"), F.col("center")))))).alias("width"), F.first("center").alias("center"))
-    sizes = items.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("i_blocks"))
-    table = cut(cones.join(sizes, "cluster"))
-    # Cones go to the users in lists of about CONES each; a list is one row. Up to BROADCAST_LISTS of them are sent to every task.
-    lists = -(-max(1, table.count()) // CONES)
-    listed = table.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(lists)).cast("int").alias("list")).agg(F.collect_list(F.struct("cluster", "width", "center", "i_blocks")).alias("cones"))
-    asked = users.select("user_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"))
-    visit = asked.join(F.broadcast(listed) if lists <= BROADCAST_LISTS else listed, "list").select("user_id", "vector", F.inline("cones"))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), Y.dot(F.col("vector"), F.col("center")))))
-    near = visit.filter(F.cos(F.greatest(F.lit(0.0), angle - F.col("width") - 1e-6)) >= threshold)
-    left = near.select("cluster", "user_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i_blocks") - 1)).alias("ib"))
-    counts = near.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("u_blocks"))
-    left = left.join(counts, "cluster").withColumn("ub", F.pmod(F.xxhash64("user_id"), F.col("u_blocks")).cast("bigint"))
-    right = items.join(sizes, "cluster").join(counts, "cluster").select(
-        F.col("cluster").alias("item_cluster"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("u_blocks") - 1)).alias("item_ub"),
-        F.pmod(F.xxhash64("key"), F.col("i_blocks")).cast("bigint").alias("item_ib"), "key", F.col("vector").alias("item_vector"))
-
-    def multiply(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if u.empty or i.empty:
-            return pd.DataFrame({"user_id": [], "key": [], "similarity": []})
-        scores = np.stack(u["vector"].to_numpy()).astype(float) @ np.stack(i["item_vector"].to_numpy()).astype(float).T
-        a, b = np.nonzero(scores >= threshold)
-        return pd.DataFrame({"user_id": u["user_id"].to_numpy()[a], "key": i["key"].to_numpy()[b], "similarity": scores[a, b]})
-
-    kind = dict(users.dtypes)["user_id"]
-    pairs = left.groupBy("cluster", "ub", "ib").cogroup(right.groupBy("item_cluster", "item_ub", "item_ib"))
-    return pairs.applyInPandas(multiply, f"user_id {kind}, key string, similarity double")
-
-
 # ---------------------------------------------------------------- the feed
 
-def scored_pairs(events: DataFrame, matches: DataFrame, interests: DataFrame, taste: DataFrame, vectors: DataFrame, less: DataFrame,
-                 stories: DataFrame, as_of: Column) -> DataFrame:
-    """Scored user–event pairs a feed can be taken from: events matching a chosen interest or close to the taste vector.
-
-    An event without a vector scores the same for all followers of an interest. So of those that nobody wants less of, only the first
-    4·C per interest, match strength and category (C categories; the best of a story counts for it) can enter any feed, and only they meet the users.
-    Events with a vector, or that somebody rejected, meet all their followers.
-
-    events: id, layer_id, significance, occurred_at; vectors: key, cluster, vector; less: user_id, event_id; stories: id, root.
-    """
-    keys = ["user_id", "id"]
-    facts = events.select("id", "layer_id", (W_SIGNIFICANCE * M.significance_norm(F.col("significance")) + W_FRESHNESS * C.freshness(F.col("occurred_at"), as_of)).alias("base"))
-    special = vectors.select(F.col("key").alias("id")).union(less.select("event_id")).distinct()
-    common = F.round(W_INTEREST * F.col("score") + F.col("base"), 4)
-    placed = matches.join(facts, "id").join(special.withColumn("special", F.lit(True)), "id", "left").withColumn("common", common).withColumn(
-        "category", layer_category(F.col("layer_id"), "other"))
-    ahead = [F.desc("common"), F.asc("id")]
-    lists = ["interest_id", "score", "category"]
-    plain = placed.filter("special is null").join(stories.select("id", "root"), "id", "left")
-    told = first_k(plain.filter("root is not null"), [*lists, "root"], ahead, 1, "in_story").drop("in_story")
-    short = first_k(plain.filter("root is null").unionByName(told), lists, ahead, PER_CATEGORY * (len(CATEGORIES) + 1), "place")
-    offered = placed.filter("special").select("id", "interest_id", "score").unionByName(short.select("id", "interest_id", "score"))
-    followed = offered.join(interests, "interest_id").groupBy(*keys).agg(F.max("score").alias("match"))
-    close = similar_above(taste.filter("taste is not null").select("user_id", F.col("taste").alias("vector")), vectors, MIN_SIMILARITY).select("user_id", F.col("key").alias("id"))
-    pairs = followed.join(close.withColumn("close", F.lit(True)), keys, "full")
-    kept = pairs.join(less.select("user_id", F.col("event_id").alias("id")), keys, "left_anti")
-    full = kept.join(facts, "id")
-    # Only pairs with a vector need the taste of the user; the others have no similarity.
-    near = full.select("user_id", "id").join(vectors.select(F.col("key").alias("id"), "vector"), "id").join(taste, "user_id")
-    dots = near.select("user_id", "id", F.coalesce(Y.dot(F.col("taste"), F.col("vector")), F.lit(0.0)).alias("similarity"),
-                       F.greatest(F.lit(0.0), F.coalesce(Y.dot(F.col("avoid"), F.col("vector")), F.lit(0.0))).alias("avoidance"))
-    out = full.join(dots, keys, "left")
-    similarity, avoidance, match = (F.coalesce(c, F.lit(0.0)) for c in ("similarity", "avoidance", "match"))
-    score = W_SIMILARITY * similarity + W_INTEREST * match + F.col("base") - W_AVOID * avoidance
-    return out.select("user_id", "id", "layer_id", F.round(score, 4).alias("score"))
-
-
 def top_feed(scored: DataFrame, stories: DataFrame, n: int = 20) -> DataFrame:
     """The best n per user with one event per story and at most four per category, taken by score.
 
@@ -252,11 +167,34 @@ def top_feed(scored: DataFrame, stories: DataFrame, n: int = 20) -> DataFrame:
 
 
 def liked_reason(feed: DataFrame, signals: DataFrame, vectors: DataFrame, titles: DataFrame, at_least: float = SIMILAR_REASON) -> DataFrame:
-    """Per feed row the liked event it is most like, if near enough: user_id, id, liked_id, closeness, reason. Thirty strongest likes count."""
-    have = signals.filter("positive is not null").join(vectors.select(F.col("key").alias("event_id"), F.col("vector").alias("liked_vector")), "event_id")
-    liked = first_k(have, ["user_id"], [F.desc("positive"), F.asc("event_id")], LIKED_LIMIT).select("user_id", F.col("event_id").alias("liked_id"), "liked_vector")
-    near = feed.select("user_id", "id").join(vectors.select(F.col("key").alias("id"), "vector"), "id").join(liked, "user_id").filter("liked_id <> id")
-    best = near.groupBy("user_id", "id").agg(F.max(F.struct(Y.dot(F.col("vector"), F.col("liked_vector")).alias("closeness"), "liked_id")).alias("b")).select("user_id", "id", "b.*")
+    """Per feed row the liked event it is most like, if near enough: user_id, id, liked_id, closeness, reason. Thirty strongest likes count.
+
+    A user's feed and likes are short lists, so each user is one row with both, and only the nearest like leaves the task.
+    """
+    have = signals.filter("positive is not null").join(vectors.select(F.col("key").alias("event_id"), "vector"), "event_id")
+    liked = first_k(have, ["user_id"], [F.desc("positive"), F.asc("event_id")], LIKED_LIMIT)
+    shown = feed.select("user_id", "id").join(vectors.select(F.col("key").alias("id"), "vector"), "id")
+    listed = lambda rows, key, name: rows.groupBy("user_id").agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(name))
+    both = listed(shown, "id", "shown").join(listed(liked, "event_id", "liked"), "user_id")
+    kind = dict(feed.dtypes)["user_id"]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for user, mine, likes in zip(*(batch.column(c).to_pylist() for c in ("user_id", "shown", "liked"))):
+                likes.sort(key=lambda x: x["id"])
+                # Element by element, so equal vectors are equally close.
+                products = np.array([x["vector"] for x in mine])[:, None, :] * np.array([x["vector"] for x in likes])[None, :, :]
+                closeness = products.sum(axis=2)
+                for x, row in zip(mine, closeness):
+                    # The last of the nearest, as likes are in order of their ids.
+                    other = [(c, y["id"]) for c, y in zip(row.tolist(), likes) if y["id"] != x["id"]]
+                    if other:
+                        out.append((user, x["id"], *max(other)))
+            schema = pa.schema([batch.schema.field("user_id"), ("id", pa.string()), ("closeness", pa.float64()), ("liked_id", pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    best = both.mapInArrow(nearest, f"user_id {kind}, id string, closeness double, liked_id string")
     named = best.filter(F.col("closeness") >= at_least).join(titles.select(F.col("id").alias("liked_id"), "title"), "liked_id").filter("title <> ''")
     short = F.concat(F.substring("title", 1, 60), F.when(F.char_length("title") > 60, F.lit("…")).otherwise(F.lit("")))
     return named.select("user_id", "id", "liked_id", "closeness", F.concat(F.lit("Like “"), short, F.lit("”")).alias("reason"))

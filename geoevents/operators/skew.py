@@ -5,42 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, scratch_path
 
-HOT_ROWS = 20_000
-MAX_HOT_KEYS = 10_000
+#: Rows of either side and pairs that a task of a split join has at most.
+HOT_ROWS, WORK = 20_000, 4_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int = HOT_ROWS) -> tuple[DataFrame, bool] | None:
-    """Keys with too many rows for one task and the number of splits each needs.
+def rectangles(probe: DataFrame, build: DataFrame, keys: list[str], rows: int = HOT_ROWS, work: int = WORK) -> DataFrame:
+    """(keys, probe_splits, build_splits) of the keys whose pairs are too many for one task, from counts of both sides.
 
-    Returns (table, small): ``small`` tells that the table was counted and may be broadcast. None if no key is hot.
+    The pairs of a key are a rectangle, probe rows by build rows. It is cut into blocks of at most ``work`` pairs and ``rows`` rows a side, nearly square where both sides are
+    long: that way the fewest rows are copied. A row goes to one stripe of its own side and is copied once per stripe of the other.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_split)
-    splits = counts.select(*keys, F.ceil(F.col("n") / rows_per_split).cast("int").alias("splits"))
-    found = splits.limit(MAX_HOT_KEYS + 1).collect()
-    if not found:
-        return None
-    if len(found) > MAX_HOT_KEYS:
-        return splits, False
-    return df.sparkSession.createDataFrame(found, splits.schema), True
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = count(probe, "p").join(count(build, "b"), keys)
+    side = float(work) ** 0.5
+    # The longest stripe that the other side's stripe leaves room for.
+    stripe = lambda other: F.least(F.lit(float(rows)), F.lit(float(work)) / F.least(F.col(other), F.lit(side)))
+    cut_ = both.select(*keys, F.ceil(F.col("p") / stripe("b")).cast("int").alias("probe_splits"), F.ceil(F.col("b") / stripe("p")).cast("int").alias("build_splits"))
+    return cut_.filter("probe_splits > 1 or build_splits > 1")
 
 
-def block_join(probe: DataFrame, build: DataFrame, keys: list[str], spread: str, rows_per_split: int = HOT_ROWS) -> DataFrame:
-    """Inner join on ``keys`` where hot keys are cut into splits.
+def block_join(probe: DataFrame, build: DataFrame, keys: list[str], spread: str, probe_spread: str, rows_per_split: int = HOT_ROWS, work: int = WORK) -> DataFrame:
+    """Inner join on ``keys`` where the pairs of a hot key are dealt out in blocks, see ``rectangles``.
 
-    Rows of the build side are spread over the splits by a hash of ``spread``; probe rows visit every split. Each pair
-    still meets exactly once. Keys that are not hot have one split, so nothing is copied for them.
+    Rows are dealt to their stripes by a hash of ``spread`` and ``probe_spread``; each pair meets exactly once. Keys that are not hot have one block, so nothing
+    is copied for them. The table of hot keys is written first: its size decides whether Spark broadcasts it.
     """
-    hot = hot_keys(build, keys, rows_per_split)
-    if hot is None:
+    path = scratch_path(probe.sparkSession, "hot-keys")
+    rectangles(probe, build, keys, rows_per_split, work).write.parquet(path)
+    hot = probe.sparkSession.read.parquet(path)
+    if hot.isEmpty():
         return probe.join(build, keys)
-    table, small = hot
-    table = F.broadcast(table) if small else table
-    count = F.coalesce("splits", F.lit(1))
-    spread_build = build.join(table, keys, "left").withColumn("split", F.pmod(F.xxhash64(spread), count)).drop("splits")
-    visiting = probe.join(table, keys, "left").withColumn("split", F.explode(F.sequence(F.lit(0).cast("bigint"), (count - 1).cast("bigint")))).drop("splits")
-    return visiting.join(spread_build, [*keys, "split"]).drop("split")
+    return dealt(probe, hot, keys, probe_spread, "probe", "build").join(dealt(build, hot, keys, spread, "build", "probe"), [*keys, "_probe_stripe", "_build_stripe"]).drop("_probe_stripe", "_build_stripe")
+
+
+def dealt(df: DataFrame, hot: DataFrame, keys: list[str], spread: str, own: str, other: str) -> DataFrame:
+    """Rows with the stripe of their own side, once for every stripe of the other side."""
+    splits = lambda side: F.coalesce(F.col(f"{side}_splits"), F.lit(1))
+    placed = df.join(hot, keys, "left").withColumn(f"_{own}_stripe", F.pmod(F.xxhash64(spread), splits(own)).cast("int"))
+    return placed.withColumn(f"_{other}_stripe", F.explode(F.sequence(F.lit(0), splits(other) - 1))).drop("probe_splits", "build_splits")
 
 
 def running_count(df: DataFrame, order: list[Column], counted: Column | None = None, name: str = "pos", partitions: int | None = None) -> DataFrame:

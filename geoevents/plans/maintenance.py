@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import merge as op
+from ..operators import tables
 from ..operators import validate as va
 from ..operators.dedup import last_wins
 
@@ -35,7 +36,13 @@ KEYS = ["source", "event_id"]
 
 @query("upsert_full", f"WITH {_NEW} SELECT source, event_id, title, ROUND(value, 4) AS value, image_url FROM nw UNION ALL SELECT source, event_id, title, ROUND(value, 4), image_url FROM od WHERE event_id NOT IN (SELECT event_id FROM nw)")
 def upsert_full(v):
-    out = op.upsert_full(stored_events(v), incoming_events(v), KEYS, c("seq"))
+    """A table in buckets: the stored rows, then the two polls as they come in."""
+    root, bucket = scratch_path(v.spark, "keyed"), tables.by_hash(KEYS, 16)
+    tables.change(v.spark, root, lambda _: stored_events(v), bucket, stored_events(v))
+    for poll in (1, 2):
+        batch = incoming_events(v).filter(c("seq") == poll)
+        tables.change(v.spark, root, lambda stored: op.upsert_full(stored, batch, KEYS, c("seq")), bucket, batch)
+    out = tables.read_version(v.spark, root)
     return out.select("source", "event_id", "title", F.round("value", 4).alias("value"), "image_url")
 
 

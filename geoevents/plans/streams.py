@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators.personal import signal_weights
+from ..session import scratch_path
 from ..streaming import jobs
 from .adapter import AS_OF, VIEWS, _pick, _render
 from .filters import CELL
@@ -17,23 +18,35 @@ c = F.col
 UTC = lambda text: F.lit(text).cast("timestamp")
 
 
-def stream_of(v, view: str, table: str):
-    """A view over one given table, read as a stream of files. Times become timestamps with a zone, as watermarks need."""
-    source = jobs.read_files(v.spark, v.sf_dir, v.table(table).schema, f"{table}.parquet")
+def stream_of(v, view: str, table: str, files: int = 1):
+    """A view over one given table, read as a stream of files. Times become timestamps with a zone, as watermarks need.
+
+    With ``files`` the table is landed anew in so many files first, each a micro-batch of its own.
+    """
+    if files > 1:
+        folder = scratch_path(v.spark, f"landed-{table}")
+        v.table(table).repartitionByRange(files, "event_id").write.parquet(folder)
+        source = jobs.read_files(v.spark, folder, v.table(table).schema, files_per_batch=1)
+    else:
+        source = jobs.read_files(v.spark, v.sf_dir, v.table(table).schema, f"{table}.parquet")
     name = f"stream_{view}_{table}"
     source.createOrReplaceTempView(name)
     text = _render(VIEWS[view], False).replace(f"FROM {table}", f"FROM {name}")
     return v.spark.sql(text)
 
 
-def events_stream(v):
-    return stream_of(v, "ev", "events").withColumn("ts", c("occurred_at").cast("timestamp"))
+def events_stream(v, files: int = 1):
+    return stream_of(v, "ev", "events", files).withColumn("ts", c("occurred_at").cast("timestamp"))
+
+
+#: Micro-batches of the jobs that keep tables by key.
+BATCHES = 3
 
 
 @query("stream_upsert", "SELECT user_id, layer_id, arg_max(id, event_id) AS id, arg_max(value, event_id) AS value FROM ev GROUP BY ALL")
 def stream_upsert(v):
     out, checkpoint = jobs.places_for(v.spark, "upsert")
-    jobs.upsert_stream(events_stream(v).select("user_id", "layer_id", "id", "value", "event_id"), out, checkpoint, ["user_id", "layer_id"], "event_id")
+    jobs.upsert_stream(events_stream(v, BATCHES).select("user_id", "layer_id", "id", "value", "event_id"), out, checkpoint, ["user_id", "layer_id"], "event_id")
     return merge.read_version(v.spark, out).select("user_id", "layer_id", "id", "value")
 
 
@@ -62,13 +75,13 @@ def stream_cell_density(v):
 @query("stream_hotspots", f"SELECT cell_lat, cell_lng, acq_date, COUNT(*) AS hotspot_count, MAX(value) AS max_frp, ROUND(AVG(value), 4) AS mean_frp, MAX(occurred_at) AS occurred_at FROM (SELECT *, {CELL} FROM ev) GROUP BY cell_lat, cell_lng, acq_date HAVING COUNT(*) >= 8 OR MAX(value) >= 20")
 def stream_hotspots(v):
     out, checkpoint = jobs.places_for(v.spark, "hotspots")
-    jobs.hotspot_stream(events_stream(v).select("lat", "lng", c("occurred_at").alias("acq_at"), c("value").alias("frp")), out, checkpoint)
+    jobs.hotspot_stream(events_stream(v, BATCHES).select("lat", "lng", c("occurred_at").alias("acq_at"), c("value").alias("frp")), out, checkpoint)
     return jobs.clusters_of(merge.read_version(v.spark, out)).withColumn("mean_frp", F.round("mean_frp", 4))
 
 
 def profile_table(v):
     out, checkpoint = jobs.places_for(v.spark, "profile")
-    jobs.profile_stream(stream_of(v, "actions", "events"), out, checkpoint)
+    jobs.profile_stream(stream_of(v, "actions", "events", BATCHES), out, checkpoint)
     return merge.read_version(v.spark, out)
 
 
@@ -121,6 +134,6 @@ def stream_news_disaster(v):
   SELECT * FROM m WHERE archived_at IS NULL OR archived_at >= TIMESTAMP '2024-01-16 00:00:00' - INTERVAL 7 DAY""")
 def stream_retention(v):
     out, checkpoint = jobs.places_for(v.spark, "retention")
-    events = events_stream(v).select("id", "occurred_at", F.when(c("event_id") % 4 == 0, c("occurred_at") + F.expr("INTERVAL 1 DAY")).alias("archived_at"))
+    events = events_stream(v, BATCHES).select("id", "occurred_at", F.when(c("event_id") % 4 == 0, c("occurred_at") + F.expr("INTERVAL 1 DAY")).alias("archived_at"))
     jobs.retention_stream(events, out, checkpoint, v.as_of, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), "7 DAYS")
     return merge.read_version(v.spark, out).select("id", "archived_at")

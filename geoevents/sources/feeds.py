@@ -5,6 +5,9 @@ Each ``*_events`` function takes raw rows and is a plain projection; rows that c
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,7 +37,12 @@ ALERT_SCHEMA = """features ARRAY<STRUCT<properties: STRUCT<eventtype: STRING, ev
   alertlevel: STRING, alertscore: STRING, fromdate: STRING, todate: STRING, iso3: STRING, url: STRING, link: STRING, severitydata: STRING, population: STRING,
   affectedpopulation: STRING, glide: STRING, country: STRING, longitude: STRING, lon: STRING, latitude: STRING, lat: STRING>,
   geometry: STRUCT<type: STRING, coordinates: STRING>>>"""
-HOTSPOT_SCHEMA = "latitude STRING, longitude STRING, bright_ti4 STRING, acq_date STRING, acq_time STRING, satellite STRING, confidence STRING, frp STRING, daynight STRING"
+HOTSPOT_SCHEMA = "latitude STRING, longitude STRING, bright_ti4 STRING, brightness STRING, acq_date STRING, acq_time STRING, satellite STRING, confidence STRING, frp STRING, daynight STRING"
+CONFLICT_SCHEMA = "data ARRAY<STRUCT<" + ", ".join(f"{n}: STRING" for n in [
+    "event_id_cnty", "event_date", "time_precision", "event_type", "sub_event_type", "geo_precision", "latitude", "longitude", "fatalities", "notes", "tags", "iso", "source", "population_best", "timestamp",
+    *CONFLICT_TEXTS]) + ">>"
+CODED_SCHEMA = ", ".join(f"{n} STRING" for n in [
+    "SQLDATE", "Actor1Name", "Actor2Name", "EventCode", "ActionGeo_FullName", "ActionGeo_Lat", "ActionGeo_Long", "GoldsteinScale", "NumArticles", "SOURCEURL", "title", "description", "category"])
 NEWS_SCHEMA = "title STRING, description STRING, url STRING, image STRING, publishedAt STRING, source STRUCT<name: STRING>, _layerId STRING"
 STORY_SCHEMA = """news ARRAY<STRUCT<story: STRING, text: STRING, links: ARRAY<STRUCT<title: STRING, titles: STRUCT<normalized: STRING>, thumbnail: STRUCT<source: STRING>, content_urls: STRUCT<desktop: STRUCT<page: STRING>>>>>>,
   onthisday ARRAY<STRUCT<text: STRING, story: STRING, pages: ARRAY<STRUCT<title: STRING, titles: STRUCT<normalized: STRING>, thumbnail: STRUCT<source: STRING>, content_urls: STRUCT<desktop: STRUCT<page: STRING>>>>>>"""
@@ -45,11 +53,49 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features"))
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, all columns as text. Columns are found by name; others are left out, missing ones are null."""
-    found = spark.read.option("header", True).csv(path)
+def first_with_features(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, str]:
+    """Features of the first of several feeds that has any, and its path; the last one where none has."""
+    for path in paths:
+        found = read_features(spark, path, schema)
+        if not found.isEmpty():
+            break
+    return found, path
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, files): the first line with text of every file, and the files that share it."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0 AND trim(value) <> ''")
+    # A file's first block is read by one task in order.
+    first = lines.withColumn("line", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+    return first.groupBy("header").agg(F.collect_list("file_path").alias("files"))
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """CSV files with headers, all columns as text. In each file columns are found by name; others are left out, missing ones are null.
+
+    Files are read together if their headers are equal. A name that a header has twice means its last column. Quotes inside quotes are doubled.
+    """
     wanted = StructType.fromDDL(schema).fields
-    return found.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+    out = None
+    # One row per different header; the driver lists the files anyway.
+    for row in headers(spark, path).orderBy("header").collect():
+        names = [n.strip().removeprefix("\ufeff") for n in next(csv.reader([row["header"]]))]
+        place = {n: f"c{k}" for k, n in enumerate(names)}
+        reader = spark.read.schema(", ".join(f"c{k} STRING" for k in range(len(names)))).option("header", True).option("escape", '"').option("multiLine", multiline)
+        found = reader.csv([unquote(f) for f in row["files"]])
+        part = found.select(*(F.col(place[f.name]).cast(f.dataType).alias(f.name) if f.name in place else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+        out = part if out is None else out.union(part)
+    return spark.createDataFrame([], StructType(wanted)) if out is None else out
+
+
+def read_conflicts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per event of conflict answers (JSON documents with a list ``data``), all fields as text."""
+    return spark.read.schema(CONFLICT_SCHEMA).option("multiLine", True).json(path).select(F.inline("data"))
+
+
+def read_coded(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of coded conflict CSV files; texts may hold line breaks."""
+    return read_rows(spark, path, CODED_SCHEMA, multiline=True)
 
 
 def event_columns(**given: Column) -> list[Column]:
@@ -113,6 +159,7 @@ def alert_events(features: DataFrame, as_of: Column) -> DataFrame:
 
 def hotspots(rows: DataFrame) -> DataFrame:
     """Fire detections; rows without a position or a readable time are skipped."""
+    rows = _filled(rows, ["brightness"])
     lat, lng = M.finite(c("latitude")), M.finite(c("longitude"))
     clock = F.coalesce(c("acq_time"), F.lit("0000"))
     clock = F.when(F.char_length(clock) < 4, F.lpad(clock, 4, "0")).otherwise(clock)
@@ -120,7 +167,7 @@ def hotspots(rows: DataFrame) -> DataFrame:
     key = F.concat_ws(":", F.lit("firms"), F.coalesce(c("satellite"), F.lit("None")), c("acq_date"), clock, F.format_string("%.4f", lat), F.format_string("%.4f", lng))
     return rows.filter(lat.isNotNull() & lng.isNotNull() & at.isNotNull()).select(
         key.alias("hotspot_id"), lat.alias("lat"), lng.alias("lng"), at.alias("acq_at"), "satellite", "confidence", M.num(c("frp")).alias("frp"),
-        M.num(c("bright_ti4")).alias("brightness"), "daynight")
+        M.num(F.coalesce(X.blank_to_null(c("bright_ti4")), c("brightness"))).alias("brightness"), "daynight")
 
 
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Structured Streaming forms of the polling jobs.
 
 Sources are files landed in a folder; every job runs until it has taken in what is there (``availableNow``) and can be run again
-to continue from its checkpoint. Keyed tables are rewritten as versions inside ``foreachBatch``; a version notes the batch it came from,
-so a batch repeated after a failure changes nothing. For very large state set the RocksDB provider (``session.ROCKSDB_PROVIDER``).
+to continue from its checkpoint. Keyed tables lie in buckets (``operators.tables``): inside ``foreachBatch`` a batch rewrites the buckets it
+has rows for, and the version notes the batch it came from, so a batch repeated after a failure changes nothing. For very large state set the RocksDB provider (``session.ROCKSDB_PROVIDER``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geo as G
 from ..operators import hotspots as hs
-from ..operators import merge
+from ..operators import merge, tables
 from ..operators.filters import MAX_FEED_ERRORS, window_verdict
 from ..operators.links import geocode_fallback
 from ..operators.pairs import home_cell, reached_cells
@@ -26,6 +26,8 @@ from ..operators.ranking import last_interactions, saved_since
 from ..session import scratch_path
 
 LATE = "2 days"
+#: Buckets of a table kept by key; a batch rewrites those that it brings rows for.
+BUCKETS = 16
 
 
 def read_files(spark: SparkSession, folder: str, schema: Any, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -44,33 +46,38 @@ def per_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[DataFrame | None], DataFrame], writer: str = "") -> None:
+def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[DataFrame | None], DataFrame], writer: str = "", bucket: Column | None = None,
+               batch: DataFrame | None = None, also: Callable[[list[str]], list[str]] | None = None) -> None:
     """The next version of a table from a batch, unless this batch of this writer is in it already.
 
-    A writer is a checkpoint: batch numbers start again with a new one, and several streams may feed one table in turn.
+    A writer is a checkpoint: batch numbers start again with a new one, and several streams may feed one table in turn (not at once).
+    With ``bucket`` only the buckets of the batch's rows are read and rewritten.
     """
-    done = (merge.current_version(spark, root) or {}).get("batches", {})
+    done = (tables.current_version(spark, root) or {}).get("batches", {})
     if done.get(writer, -1) >= batch_id:
         return
-    merge.write_version(change(merge.read_version(spark, root)), root, {"batches": {**done, writer: batch_id}})
+    tables.change(spark, root, change, bucket, batch, also, {"batches": {**done, writer: batch_id}})
 
 
 # ---------------------------------------------------------------- tables kept by key
 
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: str) -> None:
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
     """Events of repeated polls, the last one per key. ``order`` tells which copy is newer."""
     def step(batch: DataFrame, batch_id: int) -> None:
         def change(stored: DataFrame | None) -> DataFrame:
             empty = batch.limit(0) if stored is None else stored
             return merge.upsert_full(empty, batch, keys, F.col(order))
-        apply_once(root, batch_id, batch.sparkSession, change, checkpoint)
+        apply_once(root, batch_id, batch.sparkSession, change, checkpoint, tables.by_hash(keys, buckets), batch)
     per_batch(stream, step, checkpoint)
 
 
 def retention_stream(stream: DataFrame, root: str, checkpoint: str, as_of: Column, cutoff: Column, window: str) -> None:
-    """Appends each poll, archives what is old and removes what was archived long ago."""
+    """Appends each poll, archives what is old and removes what was archived long ago. Days after the cutoff that a poll brings nothing for stay as they are."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_once(root, batch_id, batch.sparkSession, lambda stored: merge.retention(batch if stored is None else stored.unionByName(batch), as_of, cutoff, window), checkpoint)
+        spark = batch.sparkSession
+        last = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd")).first()[0]
+        apply_once(root, batch_id, spark, lambda stored: merge.retention(batch if stored is None else stored.unionByName(batch), as_of, cutoff, window), checkpoint,
+                   tables.by_day(F.col("occurred_at")), batch, lambda days: [d for d in days if d <= last])
     per_batch(stream, step, checkpoint)
 
 
@@ -107,7 +114,7 @@ def cell_density_stream(stream: DataFrame, out: str, checkpoint: str, step: floa
 def hotspot_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
     """Running cluster figures per cell and day; clusters are those that reach the threshold.
 
-    Each batch is aggregated first; its partial figures are then combined with the stored ones.
+    Each batch is aggregated first; its partial figures are then combined with the stored ones of the same days.
     """
     keys = ["cell_lat", "cell_lng", "acq_date"]
 
@@ -119,7 +126,7 @@ def hotspot_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
             both = fresh if stored is None else stored.unionByName(fresh)
             return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"), F.sum("sum_frp").alias("sum_frp"), F.max("last_at").alias("last_at"))
 
-        apply_once(root, batch_id, batch.sparkSession, change, checkpoint)
+        apply_once(root, batch_id, batch.sparkSession, change, checkpoint, tables.by_day(F.col("acq_date")), fresh)
     per_batch(stream, step, checkpoint)
 
 
@@ -130,7 +137,7 @@ def clusters_of(figures: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- profiles
 
-def profile_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
+def profile_stream(stream: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Profiles from action logs: saved items, current opinions and the last interactions, one table of rows that still matter.
 
     Stored rows are actions again, so a batch is simply added and the same rules are applied: later actions win, and a saved item keeps
@@ -147,7 +154,7 @@ def profile_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         new = batch.select(*columns)
-        apply_once(root, batch_id, batch.sparkSession, lambda stored: compact(new if stored is None else stored.unionByName(new)), checkpoint)
+        apply_once(root, batch_id, batch.sparkSession, lambda stored: compact(new if stored is None else stored.unionByName(new)), checkpoint, tables.by_hash(["user_id"], buckets), new)
     per_batch(stream, step, checkpoint)
 
 

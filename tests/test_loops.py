@@ -47,16 +47,42 @@ def test_near_pairs(spark, radius, hours):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_split_join_meets_every_pair_once(spark):
-    left = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.range(300).select(F.col("id").alias("b"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    hot, small = SK.hot_keys(right, ["k"], 20)
-    assert small and hot.count() == 1
-    split = SK.block_join(left, right, ["k"], "b", rows_per_split=20)
+@pytest.mark.parametrize(("n_left", "n_right", "rows", "work"), [(300, 300, 20, 10**6), (300, 300, 1000, 400), (900, 30, 1000, 300), (30, 900, 50, 300), (5, 5, 1, 1)])
+def test_split_join_meets_every_pair_once(spark, n_left, n_right, rows, work):
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 1, None).otherwise(F.col("id") % 50).alias("k")
+    left, right = spark.range(n_left).select(F.col("id").alias("a"), key), spark.range(n_right).select(F.col("id").alias("b"), key)
+    split = SK.block_join(left, right, ["k"], "b", "a", rows, work)
     pairs = [(r["a"], r["b"]) for r in split.select("a", "b").collect()]
     assert len(pairs) == len(set(pairs)) == left.join(right, "k").count()
 
 
+def test_a_pile_is_cut_into_blocks_of_bounded_work(spark):
+    # A pile of 100,000 probe and 100 build rows, and one that is long on both sides.
+    pile = lambda n, k: spark.range(n).select(F.lit(k).alias("k"), F.col("id"))
+    probe = pile(100_000, 1).union(pile(30_000, 2)).union(pile(10, 3)).withColumnRenamed("id", "a")
+    build = pile(100, 1).union(pile(20_000, 2)).union(pile(10, 3)).withColumnRenamed("id", "b")
+    hot = SK.rectangles(probe, build, ["k"], rows=20_000, work=1_000_000).cache()
+    assert {r["k"]: (r["probe_splits"], r["build_splits"]) for r in hot.collect()} == {1: (10, 1), 2: (30, 20)}
+    blocks = ["k", "_probe_stripe", "_build_stripe"]
+    sizes = lambda df, n: df.groupBy(*blocks).agg(F.count(F.lit(1)).alias(n))
+    met = sizes(SK.dealt(probe, hot, ["k"], "a", "probe", "build"), "p").join(sizes(SK.dealt(build, hot, ["k"], "b", "build", "probe"), "b"), blocks)
+    rows = met.collect()
+    assert len(rows) == 10 + 600 + 1
+    assert sum(r["p"] * r["b"] for r in rows) == 100_000 * 100 + 30_000 * 20_000 + 100
+    # Hashes deal evenly, so no block is far above its share.
+    assert max(r["p"] * r["b"] for r in rows) < 1.3 * 1_000_000
+
+
+def test_piles_on_one_spot_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(SK.block_join, "__defaults__", (7, 40))
+    rng = random.Random(11)
+    rows = [(f"e{i}", 10.0, 20.0, rng.randrange(3) * 3_600_000_000) for i in range(60)] + [(f"f{i}", 10.0 + rng.random() * 8, 20.0, rng.randrange(100) * 3_600_000_000) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, lat double, lng double, t_us bigint")
+    want = {(a[0], b[0]) for a in rows for b in rows if 0 <= a[3] - b[3] <= 48 * 3_600_000_000 and (a[3] > b[3] or a[0] < b[0]) and km(a[1:3], b[1:3]) <= 200}
+    got = [(r["id_a"], r["id_b"]) for r in PA.near_pairs(df, 200.0, 48).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_numbering_without_gathering_a_group(spark):
     rows = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 7).alias("k"), ((F.col("id") * 37) % 101).alias("v"))
     got = {r["id"]: r["rn"] for r in SK.numbered_within(rows, ["k"], [F.desc("v"), F.asc("id")]).collect()}
@@ -270,17 +296,6 @@ def test_top_feed(spark, seed):
     assert got == want
 
 
-def test_similar_above_visits_every_match(spark):
-    r = random.Random(4)
-    unit = lambda: (lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v])([r.gauss(0, 1) for _ in range(4)])
-    users = [(i, unit()) for i in range(40)]
-    items = [(f"i{j}", "hot" if j % 3 == 0 else f"c{j % 5}", unit()) for j in range(120)]
-    want = {(u, k) for u, v in users for k, _, w in items if sum(a * b for a, b in zip(v, w)) >= 0.5}
-    got = PE.similar_above(spark.createDataFrame(users, "user_id int, vector array<double>"), spark.createDataFrame(items, "key string, cluster string, vector array<double>"), 0.5, block=16)
-    pairs = [(x["user_id"], x["key"]) for x in got.collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
-
-
 def test_nearest_vectors_across_blocks(spark):
     r = random.Random(6)
     rows = [(f"v{i:03d}", [r.gauss(0, 1) for _ in range(4)], "hot" if i % 3 else "cold") for i in range(120)]

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from geoevents.sources import feeds as S
+from geoevents.sources import kinds as K
 
 AS_OF = "2026-10-04 12:00:00"
 
@@ -59,6 +60,78 @@ def test_hotspots_with_more_columns_than_are_used(spark, tmp_path):
     assert S.hotspots(S.read_rows(spark, path, S.HOTSPOT_SCHEMA)).count() == 1
 
 
+def test_files_with_different_headers_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed files"
+    write(folder, "a.csv", "latitude,longitude,frp\n1,2,3\n4,5,6\n")
+    write(folder, "b.csv", "frp,latitude,longitude\n30,10,20\n")
+    write(folder, "c.csv", "\ufeff\"latitude\",longitude,bright_ti4,scan,track,acq_date,acq_time,satellite,instrument,confidence,version,bright_ti5,frp,daynight\r\n7,8,330.1,0.4,0.4,2026-10-04,0130,N,VIIRS,n,2.0NRT,290.0,9,D\r\n")
+    write(folder, "d.csv", "latitude,longitude,brightness,acq_date,acq_time,satellite,confidence,frp,daynight\n1.5,2.5,301.5,2026-10-03,45,N,n,12.5,D\n")
+    write(folder, "only header.csv", "latitude,longitude,frp\n")
+    write(folder, "empty.csv", "")
+    found = S.read_rows(spark, str(folder), S.HOTSPOT_SCHEMA)
+    got = sorted((r["latitude"], r["longitude"], r["frp"], r["acq_time"]) for r in found.collect())
+    assert got == [("1", "2", "3", None), ("1.5", "2.5", "12.5", "45"), ("10", "20", "30", None), ("4", "5", "6", None), ("7", "8", "9", "0130")]
+    assert sorted((r["lat"], r["brightness"]) for r in S.hotspots(found).collect()) == [(1.5, 301.5), (7.0, 330.1)]
+
+
+def test_no_files_with_text(spark, tmp_path):
+    assert S.read_rows(spark, write(tmp_path / "none", "a.csv", "\n"), S.HOTSPOT_SCHEMA).collect() == []
+
+
+def test_conflict_answers_and_coded_files(spark, tmp_path):
+    row = {"event_id_cnty": "KLO7", "event_date": "2025-02-11", "event_type": "Battles", "sub_event_type": "Armed clash", "actor1": "Harbour Guard", "latitude": "-7.5", "longitude": 31.25, "fatalities": 3, "geo_precision": 1, "country": "Kalonia", "location": "Port Mira", "timestamp": 1739318400, "unknown": [1]}
+    path = write(tmp_path / "acled", "page1.json", json.dumps({"status": 200, "data": [row, {**row, "event_id_cnty": "KLO8", "latitude": None}]}, indent=1))
+    write(tmp_path / "acled", "page2.json", json.dumps({"data": []}))
+    (event,) = S.conflict_events(S.read_conflicts(spark, path)).collect()
+    assert (event["source_event_id"], event["lng"], event["weight"], event["detail"]["fatalities"], event["title"]) == ("KLO7", 31.25, 3.0, 3, "Armed clash in Port Mira, Kalonia")
+    assert str(event["updated_at"]) == "2025-02-12 00:00:00" and event["geo_precision"] == "point"
+    path = write(tmp_path / "coded", "a.csv", 'SQLDATE,Actor1Name,ActionGeo_FullName,ActionGeo_Lat,ActionGeo_Long,GoldsteinScale,NumArticles,SOURCEURL,title,description,category,EventCode\n20250211,GUARD,"Port Mira, Kalonia",-7.5,31.0,-10.0,12,https://p.test/a,"A ""big"" title","two\nlines",conflict,190\n')
+    write(tmp_path / "coded", "b.csv", "category,title,SOURCEURL,SQLDATE,ActionGeo_Lat,ActionGeo_Long\nprotest,Other,https://p.test/b,20250212,1,2\n")
+    got = {r["info_url"][-1]: r for r in S.coded_events(S.read_coded(spark, path)).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"]["title"], got["a"]["summary"], got["a"]["geo_precision"], got["a"]["significance"]) == ('A "big" title', "two\nlines", "city", 100.0)
+    assert (got["b"]["category"], got["b"]["lng"], got["b"]["significance"], got["b"]["weight"]) == ("protest", 2.0, 55.0, 0.0)
+
+
+def test_first_feed_with_features(spark, tmp_path):
+    feature = {"id": "u1", "properties": {"mag": 5.0, "time": 1791028800000, "tsunami": 1, "place": "Bay"}, "geometry": {"coordinates": [1.0, 2.0, 3.0]}}
+    empty, full = write(tmp_path / "e", "a.json", json.dumps({"features": []})), write(tmp_path / "f", "a.json", json.dumps({"features": [feature]}))
+    found, path = S.first_with_features(spark, [empty, full, empty], S.QUAKE_SCHEMA)
+    assert path == full and found.count() == 1
+    assert S.first_with_features(spark, [empty], S.QUAKE_SCHEMA)[0].count() == 0
+    quakes = S.quake_events(found)
+    tags = K.tsunami_tags(quakes)
+    assert [tuple(r) for r in tags.collect()] == [("usgs:u1", "tsunami", "keyword")]
+    assert K.with_tags(tags, tags).count() == 1
+    assert K.kind_rows(quakes, K.QUAKES).first().asDict()["magnitude"] == 5.0
+
+
+def test_kind_tables_are_refreshed_by_their_rules(spark):
+    detail = "struct<gdacs_event_id:long,episode_id:long,alert_level:string,alert_score:double,population:long,glide:string,name:string,severity_text:string,country:string,iso3:string,magnitude:double,max_wind_kmh:double,flood_severity_score:double,affected_area_km2:double,burned_area_ha:double>"
+    events = lambda *rows: spark.createDataFrame(list(rows), f"event_id string, category string, detail {detail}")
+    first = (1, 1, "Green", 1.0, 10, "g", "Old", "text", "A", "AAA", 5.0, 100.0, 1.0, 2.0, 3.0)
+    later = (2, 2, "Red", 2.0, 20, "h", "New", "more", "B", "BBB", None, None, None, None, None)
+    want = {
+        "earthquake": {"gdacs_event_id": 2, "alert_level": "Red", "population": 20, "glide": "h", "magnitude": 5.0},
+        "cyclone": {"gdacs_event_id": 1, "episode_id": 1, "glide": "g", "alert_level": "Red", "storm_name": "New", "storm_class": "more", "max_wind_kmh": None, "population": 20},
+        "flood": {"gdacs_event_id": 1, "population": 10, "country": "A", "severity_text": "more", "flood_severity_score": None, "alert_score": 2.0},
+        "drought": {"population": 10, "iso3": "AAA", "affected_area_km2": None, "alert_level": "Red"},
+        "volcano": {"volcano_name": "New", "severity_text": "more", "population": 10, "country": "A"},
+        "wildfire": {"gdacs_event_id": 2, "population": 20, "burned_area_ha": None},
+    }
+    for category, values in want.items():
+        kind = K.ALERTS[category]
+        stored = K.kind_rows(events(("x", category, first)), kind, category)
+        incoming = K.kind_rows(events(("x", category, later), ("y", category, later), ("z", "other", later)), kind, category)
+        rows = {r["event_id"]: r.asDict() for r in K.refreshed(stored, incoming, kind).collect()}
+        assert set(rows) == {"x", "y"} and rows["y"]["gdacs_event_id"] == 2
+        assert {k: rows["x"][k] for k in values} == values
+    fires = spark.createDataFrame([("x", 3, 9.0, 4.0, "N", "n", "D", "Green")], "event_id string, hotspot_count long, max_frp double, mean_frp double, satellite string, confidence string, daynight string, alert_level string")
+    again = spark.createDataFrame([("x", 5, 12.0, 6.0, "M", "h", "N")], "event_id string, hotspot_count long, max_frp double, mean_frp double, satellite string, confidence string, daynight string")
+    row = K.refreshed(fires, again, K.FIRES).first()
+    assert (row["hotspot_count"], row["max_frp"], row["satellite"], row["alert_level"]) == (5, 12.0, "N", "Green")
+
+
 CONFLICT = ["event_id_cnty", "event_date", "event_type", "sub_event_type", "geo_precision", "fatalities", "tags", "civilian_targeting"]
 
 
