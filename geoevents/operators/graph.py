@@ -7,9 +7,11 @@ and a lost executor costs one round.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from ..session import cut
 
 #: Results of so many rounds are folded into one table, so plans stay short however many rounds there are.
 FOLD_ROUNDS = 16
+#: Rows of a range that one task walks through in order.
+RANGE_ROWS = 200_000
 
 
 # ---------------------------------------------------------------- links
@@ -98,24 +102,78 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 # ---------------------------------------------------------------- first come, first kept
 
-def first_kept(claims: DataFrame) -> DataFrame:
+def in_ranges(rows: DataFrame, order: str, range_rows: int) -> tuple[DataFrame, int]:
+    """``rows`` cut into ranges of an order, about ``range_rows`` each, with the number of their range, saved; and how many ranges there are."""
+    n = max(1, -(-rows.count() // range_rows))
+    return cut(rows.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())), n
+
+
+def walked(rows: DataFrame, ranges: int, order: str, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Each range of ``in_ranges`` as a stream in order through ``walk``."""
+    stream = rows.repartition(ranges, "_range").sortWithinPartitions("_range", order)
+    return (stream if f"{order} " in schema else stream.drop(order)).mapInArrow(walk, schema)
+
+
+def plain(value):
+    """A value that can stand in a set."""
+    return tuple(map(plain, value.values())) if isinstance(value, dict) else tuple(map(plain, value)) if isinstance(value, list) else value
+
+
+KEPT, LOST, OPEN = 1, 0, 2
+
+
+def first_kept(claims: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Ids dropped when ids are taken in order of priority and one is dropped if it shares a key with a kept one.
 
-    Input: id, prio (a total order, smaller first), key. Each round keeps the ids that are first for all their keys among those
-    undecided, and drops those sharing a key with them: the outcome of the sequential walk. Keys are aggregated,
-    never paired up, so a key shared by a third of the rows costs one partial row per task.
+    Input: id, prio (a total order, smaller first), key. A round cuts the undecided ids into ranges of the order. Each range is walked in order by itself: an id is
+    settled unless it shares a key with an undecided one before it, in its own range or (by the first range of the key) in an earlier one. The keys that were kept
+    then settle ids of later ranges. The first range is always settled as a whole, so there are at most as many rounds as ranges, however long the chains in
+    them; elsewhere most ids are settled by the first rounds. A walk holds the keys of one range. Keys are aggregated, never paired up.
     """
-    open_claims = cut(claims.select("id", "prio", "key"))
-    dropped, rounds = None, 0
+    open_claims, dropped, rounds = claims.select("id", "prio", "key"), None, 0
+    kinds = dict(claims.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, maybe, held, type_ = set(), set(), None, None
+        rows = ((batch.schema.field("id").type, *row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("_range", "id", "key", "earlier"))))
+        out: list[tuple] = []
+        for (range_, id_), claims_ in groupby(rows, key=lambda r: (r[1], plain(r[2]))):
+            if range_ != held:
+                taken, maybe, held = set(), set(), range_
+            claims_ = list(claims_)
+            type_, keys = claims_[0][0], {plain(r[3]) for r in claims_}
+            if keys & taken:
+                state = LOST
+            elif any(r[4] for r in claims_) or keys & maybe:
+                state = OPEN
+                maybe |= keys
+            else:
+                state = KEPT
+                taken |= keys
+            out.append((claims_[0][2], state))
+            if len(out) == 10_000:
+                yield verdicts(out, type_)
+                out = []
+        if out:
+            yield verdicts(out, type_)
+
+    def verdicts(rows: list[tuple], type_: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type_), pa.array([r[1] for r in rows], pa.int32())], names=["id", "state"])
+
     while True:
-        first = open_claims.groupBy("key").agg(F.min("prio").alias("first"))
-        ranked = open_claims.join(first, "key")
-        kept = ranked.groupBy("id").agg(F.bool_and(F.col("prio") == F.col("first")).alias("kept")).filter("kept").select("id")
-        kept_keys = open_claims.join(kept, "id", "left_semi").select("key").distinct()
-        lost = cut(open_claims.join(kept, "id", "left_anti").join(kept_keys, "key", "left_semi").select("id").distinct())
+        ranged, n = in_ranges(open_claims, "prio", range_rows)
+        first = ranged.groupBy("key").agg(F.min("_range").alias("first"))
+        marked = ranged.join(first, "key").select("_range", "id", "prio", "key", (F.col("first") < F.col("_range")).alias("earlier"))
+        state = cut(walked(marked, n, "prio", walk, f"id {kinds['id']}, state int"))
+        lost, left = state.filter(F.col("state") == LOST).select("id"), state.filter(F.col("state") == OPEN).select("id")
         rounds += 1
-        dropped = gathered(dropped, lost, rounds)
-        open_claims = cut(open_claims.join(kept, "id", "left_anti").join(lost, "id", "left_anti"))
+        if left.isEmpty():
+            return gathered(dropped, lost, rounds)
+        kept_keys = ranged.join(state.filter(F.col("state") == KEPT).select("id"), "id", "left_semi").select("key").distinct()
+        undecided = ranged.drop("_range").join(left, "id", "left_semi")
+        beaten = cut(undecided.join(kept_keys, "key", "left_semi").select("id").distinct())
+        dropped = gathered(dropped, lost.union(beaten), rounds)
+        open_claims = cut(undecided.join(beaten, "id", "left_anti"))
         if open_claims.isEmpty():
             return dropped
 
@@ -126,22 +184,16 @@ def url_dedup(events: DataFrame) -> DataFrame:
     return events.join(first_kept(claims), "id", "left_anti")
 
 
-def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes kept when taken by priority and dropped if joined to a kept one. nodes: id, prio; edges: a, b."""
-    prio = nodes.select("id", "prio")
-    oriented = edges.join(prio.toDF("a", "pa"), "a").join(prio.toDF("b", "pb"), "b")
-    ahead = F.col("pa") < F.col("pb")
-    open_edges = cut(oriented.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("lo")).filter("hi <> lo").distinct())
-    dropped, rounds = None, 0
-    while True:
-        if open_edges.isEmpty():
-            return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
-        kept = open_edges.join(open_edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti").select("hi").distinct()
-        lost = cut(open_edges.join(kept, "hi", "left_semi").select(F.col("lo").alias("id")).distinct())
-        rounds += 1
-        dropped = gathered(dropped, lost, rounds)
-        rest = open_edges.join(lost.withColumnRenamed("id", "lo"), "lo", "left_anti").join(lost.withColumnRenamed("id", "hi"), "hi", "left_anti")
-        open_edges = cut(rest)
+def greedy_independent(nodes: DataFrame, edges: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Nodes kept when taken by priority and dropped if joined to a kept one. nodes: id, prio; edges: a, b.
+
+    An edge is a key that both of its ends claim.
+    """
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    ends = once.select(F.explode(F.array("a", "b")).alias("id"), F.struct("a", "b").alias("key"))
+    claims = ends.join(nodes.select("id", "prio"), "id")
+    # An edge to a node that is not there binds nobody.
+    return nodes.join(first_kept(claims, range_rows), "id", "left_anti")
 
 
 # ---------------------------------------------------------------- pins
@@ -177,41 +229,64 @@ def pin_spread(events: DataFrame, n: int, spread: float, batch: int = 512) -> Da
     return chosen
 
 
-def pin_clusters(pins: DataFrame, radius: float) -> DataFrame:
+def pin_clusters(pins: DataFrame, radius: float, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Greedy leader clusters: by priority, a pin joins a leader within ``radius``, else it leads. Adds leader and colocated.
 
-    Input: id, prio, x, y, lat, lng. Pins on one spot are one candidate. The plane is cut into squares whose diagonal is the
-    radius, so a square holds at most one leader. A round makes the first undecided pin of a square a leader if it also comes
-    before the first pins of all squares in reach; then pins near a leader are settled. No pairs of pins are formed: a pin only
-    meets the leaders of nearby squares, at most one each. Of several leaders in reach a pin joins the first.
+    Input: id, prio, x, y, lat, lng. Pins on one spot are one candidate for a leader. The plane is cut into cells as wide as the radius, so what a spot can meet lies in nine cells. A
+    round cuts the undecided spots into ranges of the priority order and walks each range in order: a spot within reach of a leader of its range is settled, one that
+    may meet an undecided earlier spot (of its range by distance, of earlier ranges by cell) stays open, any other leads. Then the leaders of the round settle open spots of other ranges. The first
+    range is always settled as a whole, so chains do not cost rounds. No pairs of pins are formed. Of several leaders in reach a pin joins, of those before it, the one whose cell comes first, column by
+    column, and in a cell the first leader.
     """
-    side = radius / math.sqrt(2) * (1 - 1e-12)
-    square = lambda c: F.floor(F.col(c) / side)
-    # Pins on one spot share the fate of the first of them.
+    cell = lambda name: F.floor(F.col(name) / radius)
+    # Of the pins on one spot only the first can lead.
     spots = pins.groupBy("x", "y").agg(F.min(F.struct("prio", "id")).alias("first")).select("x", "y", F.col("first.prio").alias("prio"), F.col("first.id").alias("id"))
-    undecided = cut(spots.withColumn("sx", square("x")).withColumn("sy", square("y")))
-    reach = F.sequence(F.lit(-2), F.lit(2))
-    around = lambda df, x, y: df.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).withColumn(x, F.col("sx") + F.col("dx")).withColumn(y, F.col("sy") + F.col("dy")).drop("dx", "dy")
+    undecided = spots.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    reach = F.sequence(F.lit(-1), F.lit(1))
+    around = lambda df, x, y: df.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).withColumn(x, F.col("cx") + F.col("dx")).withColumn(y, F.col("cy") + F.col("dy"))
+    kind = dict(pins.dtypes)["id"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = None, {}
+        for batch in batches:
+            states = []
+            for range_, x, y, cx, cy, earlier in zip(*(batch.column(c).to_pylist() for c in ("_range", "x", "y", "cx", "cy", "earlier"))):
+                if range_ != held:
+                    held, found = range_, {}
+                near = {state for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1) for a, b, state in found.get((i, j), ()) if math.hypot(a - x, b - y) <= radius}
+                state = LOST if KEPT in near else OPEN if near or earlier else KEPT
+                if state != LOST:
+                    found.setdefault((cx, cy), []).append((x, y, state))
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(states, pa.int32())], names=["id", "state"])
+
     leaders, rounds = None, 0
     while True:
-        tops = undecided.groupBy("sx", "sy").agg(F.min("prio").alias("top"))
-        lowest = around(tops, "nx", "ny").groupBy(F.col("nx").alias("sx"), F.col("ny").alias("sy")).agg(F.min("top").alias("lowest"))
-        new = undecided.join(tops.join(lowest, ["sx", "sy"]).filter("top = lowest"), ["sx", "sy"]).filter("prio = top").select("id", "prio", "x", "y", "sx", "sy")
-        new = cut(new)
+        ranged, n = in_ranges(undecided, "prio", range_rows)
+        tops = ranged.groupBy("cx", "cy").agg(F.min("_range").alias("top"))
+        lowest = around(tops, "nx", "ny").groupBy(F.col("nx").alias("cx"), F.col("ny").alias("cy")).agg(F.min("top").alias("lowest"))
+        marked = ranged.join(lowest, ["cx", "cy"]).withColumn("earlier", F.col("lowest") < F.col("_range"))
+        state = cut(walked(marked.select("_range", "prio", "id", "x", "y", "cx", "cy", "earlier"), n, "prio", walk, f"id {kind}, state int"))
+        new = ranged.drop("_range").join(state.filter(F.col("state") == KEPT).select("id"), "id", "left_semi")
         rounds += 1
         leaders = gathered(leaders, new, rounds)
-        covers = around(new.select("sx", "sy", F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(F.col("tx").alias("sx"), F.col("ty").alias("sy"), "lx", "ly")
+        left = ranged.drop("_range").join(state.filter(F.col("state") == OPEN).select("id"), "id", "left_semi")
+        if left.isEmpty():
+            break
+        covers = around(new.select("cx", "cy", F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(F.col("tx").alias("cx"), F.col("ty").alias("cy"), "lx", "ly")
         within = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) <= radius
-        settled = undecided.join(covers, ["sx", "sy"]).filter(within).select("x", "y").distinct()
-        undecided = cut(undecided.join(settled, ["x", "y"], "left_anti"))
+        undecided = cut(left.join(left.join(covers, ["cx", "cy"]).filter(within).select("id").distinct(), "id", "left_anti"))
         if undecided.isEmpty():
             break
-    lead = around(leaders.select("sx", "sy", F.col("id").alias("leader"), F.col("prio").alias("lp"), F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(
-        F.col("tx").alias("sx"), F.col("ty").alias("sy"), "leader", "lp", "lx", "ly")
+    leaders = cut(leaders)
+    lead = around(leaders.select("cx", "cy", F.col("id").alias("leader"), F.col("prio").alias("lp"), F.col("x").alias("lx"), F.col("y").alias("ly")), "tx", "ty").select(
+        F.col("tx").alias("cx"), F.col("ty").alias("cy"), F.col("cx").alias("lcx"), F.col("cy").alias("lcy"), "leader", "lp", "lx", "ly")
     within = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) <= radius
-    placed = spots.select("x", "y").withColumn("sx", square("x")).withColumn("sy", square("y")).join(lead, ["sx", "sy"]).filter(within)
-    joined = placed.groupBy("x", "y").agg(F.min_by("leader", "lp").alias("leader"))
-    members = pins.join(joined, ["x", "y"])
+    met = spots.select("x", "y").withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(lead, ["cx", "cy"]).filter(within)
+    # Leaders are more than the radius apart, so only a few are in reach of a spot. A pin knows those that came before it.
+    few = met.groupBy("x", "y").agg(F.collect_list(F.struct("lcx", "lcy", "lp", "leader")).alias("few"))
+    known = F.filter("few", lambda c: c["lp"] <= F.col("prio"))
+    members = pins.join(few, ["x", "y"]).withColumn("leader", F.array_min(known)["leader"]).drop("few")
     where = members.filter("id = leader").select("leader", F.col("lat").alias("llat"), F.col("lng").alias("llng"))
     spread = members.join(where, "leader").groupBy("leader").agg(F.bool_and((F.col("lat") == F.col("llat")) & (F.col("lng") == F.col("llng"))).alias("colocated"))
     return members.join(spread, "leader")
@@ -219,34 +294,54 @@ def pin_clusters(pins: DataFrame, radius: float) -> DataFrame:
 
 # ---------------------------------------------------------------- merging duplicates
 
-def canonical_merge(events: DataFrame, verified: DataFrame) -> DataFrame:
+def canonical_merge(events: DataFrame, verified: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """canonical_id of every duplicate. Input: events (id, significance), verified (a, b, ord): pairs judged the same, in order.
 
     Pairs are applied in order; a pair with an event that is already a duplicate is skipped; the more significant event stays (the
-    first one of equals). An event only changes when it loses, so a pair is certain as soon as neither of its events has an earlier open
-    pair to lose. A round settles all certain pairs at once: an event that wins against many takes one round for all of them.
+    first one of equals). An event only changes when it loses. A round cuts the open pairs into ranges of the order and walks each by itself: a pair is certain unless one of its events
+    may lose an undecided pair before, of its own range or (by the first range in which the event can lose) of an earlier one. The first range is always settled as a whole.
     """
     level = events.select("id", "significance")
     pairs = verified.join(level.toDF("a", "sa"), "a").join(level.toDF("b", "sb"), "b")
     keeps_a = F.col("sa") >= F.col("sb")
-    open_pairs = cut(pairs.select("ord", F.when(keeps_a, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(keeps_a, F.col("b")).otherwise(F.col("a")).alias("loser")))
+    open_pairs = pairs.select("ord", F.when(keeps_a, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(keeps_a, F.col("b")).otherwise(F.col("a")).alias("loser"))
+    kinds = dict(open_pairs.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lost, maybe = None, set(), set()
+        for batch in batches:
+            states = []
+            for range_, winner, loser, earlier in zip(*(batch.column(c).to_pylist() for c in ("_range", "winner", "loser", "earlier"))):
+                if range_ != held:
+                    held, lost, maybe = range_, set(), set()
+                if winner in lost or loser in lost:
+                    state = LOST
+                elif earlier or winner in maybe or loser in maybe:
+                    state = OPEN
+                    maybe.add(loser)
+                else:
+                    state = KEPT
+                    lost.add(loser)
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("winner"), batch.column("loser"), pa.array(states, pa.int32())], names=["ord", "winner", "loser", "state"])
+
     merged, rounds = None, 0
     while True:
-        if open_pairs.isEmpty():
-            break
-        losses = open_pairs.groupBy("loser").agg(F.min("ord").alias("first_loss"))
-        at_winner = losses.toDF("winner", "winner_loss")
-        certain = open_pairs.join(losses, "loser").filter("ord = first_loss").join(at_winner, "winner", "left").filter("winner_loss is null or winner_loss > ord")
-        done = cut(certain.select(F.col("loser").alias("id"), F.col("winner").alias("canonical_id"), "ord"))
+        ranged, n = in_ranges(open_pairs, "ord", range_rows)
+        losing = ranged.groupBy("loser").agg(F.min("_range").alias("first"))
+        at = lambda side: F.coalesce(F.col(f"{side}_first") < F.col("_range"), F.lit(False))
+        marked = ranged.join(losing.toDF("loser", "loser_first"), "loser", "left").join(losing.toDF("winner", "winner_first"), "winner", "left")
+        state = cut(walked(marked.select("_range", "ord", "winner", "loser", (at("loser") | at("winner")).alias("earlier")), n, "ord", walk, ", ".join(f"{n} {kinds[n]}" for n in ("ord", "winner", "loser")) + ", state int"))
+        done = state.filter(F.col("state") == KEPT).select(F.col("loser").alias("id"), F.col("winner").alias("canonical_id"), "ord")
         rounds += 1
         merged = gathered(merged, done, rounds)
+        left = state.filter(F.col("state") == OPEN).select("ord", "winner", "loser")
+        if left.isEmpty():
+            return events.select("id").join(merged.select("id", "canonical_id"), "id", "left")
         gone = done.select("id", F.col("ord").alias("gone_at"))
-        rest = open_pairs.join(gone.toDF("loser", "loser_gone"), "loser", "left").join(gone.toDF("winner", "winner_gone"), "winner", "left")
+        rest = left.join(gone.toDF("loser", "loser_gone"), "loser", "left").join(gone.toDF("winner", "winner_gone"), "winner", "left")
         # Losing pairs of a settled event are over; pairs it wins stay open if they come before its loss.
         open_pairs = cut(rest.filter("loser_gone is null and (winner_gone is null or ord < winner_gone)").select("ord", "winner", "loser"))
-    if merged is None:
-        return events.select("id").withColumn("canonical_id", F.lit(None).cast("string"))
-    return events.select("id").join(merged.select("id", "canonical_id"), "id", "left")
 
 
 def merged_links(links: DataFrame, merged: DataFrame) -> DataFrame:

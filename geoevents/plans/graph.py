@@ -86,7 +86,13 @@ def pin_spread(v):
     return op.pin_spread(v.ev.select("id", "lat", "lng", score.alias("score")), 10, 30.0).select("id", "pick")
 
 
-@query("pin_clusters")
+_PIN = "pn AS MATERIALIZED (SELECT id, ROW_NUMBER() OVER (ORDER BY significance DESC, event_id) AS prio, (lng + 180) * 4 AS x, (90 - lat) * 4 AS y, lat, lng FROM ev)"
+
+
+@query("pin_clusters", f"""WITH RECURSIVE {_PIN}, w(prio, x, y, k) AS (SELECT prio, x, y, 0 FROM pn UNION ALL SELECT prio, x, y, k + 1 FROM (SELECT *, arg_min(x, prio) OVER () AS lx, arg_min(y, prio) OVER () AS ly FROM w) WHERE sqrt((x-lx)*(x-lx) + (y-ly)*(y-ly)) > 28),
+  ld AS (SELECT id AS leader, prio AS lp, x AS lx, y AS ly, lat AS llat, lng AS llng FROM pn WHERE prio IN (SELECT MIN(prio) FROM w GROUP BY k)),
+  mt AS (SELECT pn.*, ld.*, ROW_NUMBER() OVER (PARTITION BY pn.id ORDER BY floor(lx/28), floor(ly/28), lp) AS pick FROM pn JOIN ld ON lp <= prio AND sqrt((x-lx)*(x-lx) + (y-ly)*(y-ly)) <= 28)
+  SELECT id, leader, bool_and(lat = llat AND lng = llng) OVER (PARTITION BY leader) AS colocated FROM mt WHERE pick = 1""")
 def pin_clusters(v):
     """Pins on a flat map of 4 pixels per degree, most significant first."""
     pins = v.ev.select("id", F.struct((-c("significance")).alias("neg"), c("event_id").alias("key")).alias("prio"), ((c("lng") + 180) * 4).alias("x"), ((90 - c("lat")) * 4).alias("y"), "lat", "lng")

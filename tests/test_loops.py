@@ -221,23 +221,81 @@ def test_canonical_merge(spark, seed):
     assert got == {f"e{k:02d}": f"e{w:02d}" for k, w in canon.items()}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_pin_clusters(spark, seed):
+@pytest.mark.parametrize(("seed", "range_rows"), [(0, 1000), (1, 1000), (2, 20), (3, 5)])
+def test_pin_clusters(spark, seed, range_rows):
     r = random.Random(seed)
     pins = []
     for i in range(150):
-        x, y = (50.0, 50.0) if i % 3 == 0 else (r.uniform(0, 300), r.uniform(0, 300))
+        x, y = (50.0, 50.0) if i % 3 == 0 else (r.uniform(-60, 300), r.uniform(-60, 300))
         pins.append((f"p{i:03d}", i, x, y, x, y))
-    leaders, want = [], {}
+    cells, want = {}, {}
     for name, _, x, y, *_ in pins:
-        near = [q for q in leaders if math.hypot(q[1] - x, q[2] - y) <= 28]
+        # Cells are searched column by column, leaders of a cell in the order they came.
+        cx, cy = math.floor(x / 28), math.floor(y / 28)
+        near = [q for i in (-1, 0, 1) for j in (-1, 0, 1) for q in cells.get((cx + i, cy + j), []) if math.hypot(q[1] - x, q[2] - y) <= 28]
         if near:
             want[name] = near[0][0]
         else:
-            leaders.append((name, x, y))
+            cells.setdefault((cx, cy), []).append((name, x, y))
             want[name] = name
     df = spark.createDataFrame(pins, "id string, prio int, x double, y double, lat double, lng double")
-    assert {x["id"]: x["leader"] for x in GR.pin_clusters(df, 28.0).collect()} == want
+    assert {x["id"]: x["leader"] for x in GR.pin_clusters(df, 28.0, range_rows).collect()} == want
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """Number of rounds of the selections run so far."""
+    seen = []
+    whole = GR.in_ranges
+    monkeypatch.setattr(GR, "in_ranges", lambda *a: (seen.append(1), whole(*a))[1])
+    return seen
+
+
+@pytest.mark.parametrize("range_rows", [GR.RANGE_ROWS, 500])
+def test_chains_settle_in_few_rounds(spark, rounds, range_rows):
+    n = 2000
+    claims = spark.range(n).select("id", F.col("id").alias("prio"), F.explode(F.array("id", F.col("id") + 1)).alias("key"))
+    assert {r["id"] for r in GR.first_kept(claims, range_rows).collect()} == set(range(1, n, 2))
+    assert len(rounds) < 15
+    rounds.clear()
+    pins = spark.range(n).select("id", F.col("id").alias("prio"), (F.col("id") * 20.0).alias("x"), F.lit(0.0).alias("y"), (F.col("id") * 20.0).alias("lat"), F.lit(0.0).alias("lng"))
+    got = {r["id"]: r["leader"] for r in GR.pin_clusters(pins, 28.0, range_rows).collect()}
+    assert set(got.values()) == set(range(0, n, 2)) and len(rounds) < 15
+    rounds.clear()
+    events = spark.range(n).select(F.col("id"), (-F.col("id")).cast("double").alias("significance"))
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (n - F.col("id")).alias("ord"))
+    merged = {r["id"]: r["canonical_id"] for r in GR.canonical_merge(events, pairs, range_rows).collect() if r["canonical_id"] is not None}
+    canon = {}
+    for a in range(n - 2, -1, -1):
+        if a not in canon and a + 1 not in canon:
+            canon[a + 1] = a
+    assert merged == canon and len(rounds) < 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selections_cut_into_many_ranges(spark, rounds, seed):
+    r = random.Random(seed)
+    rows = [(i, i, r.randrange(60)) for i in range(150) for _ in range(r.randrange(1, 4))]
+    seen, dropped = set(), set()
+    for i in range(150):
+        keys = {k for a, _, k in rows if a == i}
+        if keys & seen:
+            dropped.add(i)
+        else:
+            seen |= keys
+    df = spark.createDataFrame(rows, "id int, prio int, key int")
+    assert {x["id"] for x in GR.first_kept(df, 17).collect()} == dropped
+    assert len(rounds) > 1
+    pairs = [(r.randrange(40), r.randrange(40), i) for i in range(150)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    level, canon = [r.randrange(6) for _ in range(40)], {}
+    for a, b, _ in pairs:
+        if a not in canon and b not in canon:
+            win, lose = (a, b) if level[a] >= level[b] else (b, a)
+            canon[lose] = win
+    events = spark.createDataFrame([(i, float(level[i])) for i in range(40)], "id int, significance double")
+    got = GR.canonical_merge(events, spark.createDataFrame(pairs, "a int, b int, ord int"), 13)
+    assert {x["id"]: x["canonical_id"] for x in got.collect() if x["canonical_id"] is not None} == canon
 
 
 def test_pin_cluster_examples(spark):
