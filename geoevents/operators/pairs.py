@@ -185,7 +185,7 @@ def dedup_candidates(events: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- news with news
 
-def _lowered(terms: str) -> Column:
+def lowered(terms: str) -> Column:
     """Distinct terms without regard to case."""
     return F.array_distinct(F.transform(terms, F.lower)).alias(terms)
 
@@ -194,7 +194,7 @@ def news_place_pairs(news: DataFrame) -> DataFrame:
     """Pairs close in place and time that do not already match by keywords."""
     # Positions travel through the grid; keywords are only fetched for the pairs that are near.
     near = near_pairs(news.select("id", "lat", "lng", "t_us"), NEWS_KM, NEWS_HOURS)
-    words = news.select("id", _lowered("keywords"))
+    words = news.select("id", lowered("keywords"))
     pairs = near.join(words.toDF("id_a", "keywords_a"), "id_a").join(words.toDF("id_b", "keywords_b"), "id_b")
     shared = F.size(F.array_intersect("keywords_a", "keywords_b"))
     union = F.size("keywords_a") + F.size("keywords_b") - shared
@@ -204,7 +204,7 @@ def news_place_pairs(news: DataFrame) -> DataFrame:
 
 def news_news_pairs(news: DataFrame) -> DataFrame:
     """Keyword matches (per group of equal keyword sets) and place matches, each with the rule that fired first."""
-    by_keyword = similar_groups(news.select("id", _lowered("keywords")), F.col("keywords"), KEYWORD_JACCARD).select(
+    by_keyword = similar_groups(news.select("id", lowered("keywords")), F.col("keywords"), KEYWORD_JACCARD).select(
         F.col("group_a").alias("id_a"), F.col("group_b").alias("id_b"), F.lit("keyword").alias("strategy"), "n_a", "n_b")
     one = F.lit(1).cast("bigint")
     by_place = news_place_pairs(news).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.lit("place").alias("strategy"), one.alias("n_a"), one.alias("n_b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import text as X
+from ..operators import candidates as cd
 from ..operators import pairs as op
 from .adapter import WORDS
 from .registry import query
@@ -155,3 +156,22 @@ def knn_vectors(v):
     rows = v.embeddings.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label", (F.col("vec_id") % 2 == 0).alias("article"))
     best = op.nearest_vectors(rows.filter("article").drop("article"), rows.filter("NOT article").drop("article"), 10)
     return best.select("id", "item_id", F.round("similarity", 5).alias("similarity"))
+
+
+@query("news_candidate_counts", f"""WITH n AS (SELECT id, lat, lng, t_us, category, {KEYWORDS} AS toks FROM news),
+  p AS (SELECT a.id, len(list_intersect(a.toks, b.toks)) AS k, len(a.toks) + len(b.toks) AS total, abs(a.t_us-b.t_us) AS lag, {KM} AS km, a.category = b.category AS topic FROM n a JOIN n b ON {NEWER}),
+  r AS (SELECT id, CASE WHEN k > 0 AND k / (total - k) >= 0.4 THEN 'keyword' WHEN km < 200 AND lag < {48*H} THEN 'place' WHEN topic AND lag < {72*H} THEN 'topic' END AS rule FROM p)
+  SELECT n.id, COUNT(*) FILTER (rule = 'keyword') AS keyword, COUNT(*) FILTER (rule = 'place') AS place, COUNT(*) FILTER (rule = 'topic') AS topic FROM n LEFT JOIN r USING (id) GROUP BY n.id""")
+def news_candidate_counts(v):
+    """Pairs of news by the first rule that holds, counted from groups and ranges."""
+    return cd.candidate_counts(cd.news_candidates(v.text_news))
+
+
+@query("candidate_runs", f"""WITH {SAID}, {DISASTERS}, c AS (SELECT a.id AS news_id, b.category, {MENTIONS} AS named FROM rp a JOIN ds b ON a.t_us - b.t_us BETWEEN 0 AND {168*H} WHERE {KM} <= 500 OR {MENTIONS}),
+  r AS (SELECT news_id, CASE WHEN named THEN category END AS category, COUNT(*) AS n FROM c GROUP BY ALL),
+  o AS (SELECT *, CAST(COALESCE(SUM(n) OVER (PARTITION BY news_id ORDER BY category NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_no FROM r)
+  SELECT news_id, category, first_no, n, first_no // 10 AS first_batch, (first_no + n - 1) // 10 AS last_batch FROM o""")
+def candidate_runs(v):
+    """Candidates of news with disasters, near or named, numbered through for batches of ten."""
+    news, hazards = reports(v), disasters(v)
+    return cd.candidate_runs(cd.disaster_candidates(news, hazards, op.news_disaster_pairs(news, hazards))).drop("from_pos")
