@@ -11,6 +11,7 @@ and raise an error; a null list of ids decodes to no bytes.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -294,39 +295,63 @@ def encoded(text: Column | str, shared) -> Column:
 
 
 def decoded(ids: Column | str, shared) -> Column:
-    """The bytes that lists of ids stand for."""
+    """The bytes that lists of ids stand for. ``shared`` is a broadcast Decoder."""
 
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
-            parts = []
             lists = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
             if flat.null_count:
                 raise ValueError("an id is null")
-            flat = flat.to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            start = 0
-            while start < len(counts) or not parts:
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 20), "right")) - 1)
-                stop = min(stop, len(counts))
-                data, sizes = shared.value.decode(flat[ends[start] : ends[stop]], counts[start:stop])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                parts.append(pa.BinaryArray.from_buffers(pa.binary(), stop - start, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))]))
-                start = stop
-            yield pa.concat_arrays(parts)
+            yield bytes_of(shared.value, flat.to_numpy(zero_copy_only=False), counts)
 
     decode.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, "binary")(ids)
 
 
-def tokenised(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with the columns ``ids`` (array<int>) and ``decoded`` (binary, decoded from the ids)."""
+def bytes_of(decoder: Decoder, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One value per list of ids, worked out some 1M ids at a time."""
+    parts, start = [], 0
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    while start < len(counts) or not parts:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 20), "right")) - 1)
+        stop = min(stop, len(counts))
+        data, sizes = decoder.decode(flat[ends[start] : ends[stop]], counts[start:stop])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        parts.append(pa.BinaryArray.from_buffers(pa.binary(), stop - start, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))]))
+        start = stop
+    return pa.concat_arrays(parts)
+
+
+def round_trip(text: Column | str, shared) -> Column:
+    """struct<ids, decoded>: the ids of a text and the bytes that these ids stand for, by one worker in one step."""
+
+    def work(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parts = []
+        for piece, last in pieces(arrays, 2 << 20):
+            ids, counts = shared.value.encode(piece.to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+            parts.append(pa.StructArray.from_arrays([lists, bytes_of(shared.value.decoder, ids, counts)], ["ids", "decoded"]))
+            if last:
+                yield pa.concat_arrays(parts)
+                parts = []
+
+    work.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(work, "struct<ids:array<int>,decoded:binary>")(text)
+
+
+def tokenised(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """``docs`` with the columns ``ids`` (array<int>) and ``decoded`` (binary, decoded from the ids).
+
+    Columns of these two names are replaced; other names can be given. All other columns stay, whatever they are called.
+    """
     import public_tokenizers
 
     shared = codec(docs.sparkSession, vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
-    tables = docs.sparkSession.sparkContext.broadcast(shared.value.decoder)
-    return docs.withColumn("ids", encoded("text", shared)).withColumn("decoded", decoded("ids", tables))
+    both = f"_{uuid.uuid4().hex}"
+    done = docs.withColumn(both, round_trip("text", shared))
+    return done.withColumns({ids: F.col(both)["ids"], back: F.col(both)["decoded"]}).drop(both)
 
 
 def digests(tokens: DataFrame) -> DataFrame:

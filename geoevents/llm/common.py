@@ -56,7 +56,7 @@ def texts(array: pa.Array) -> pa.Array:
     return array.fill_null("") if array.null_count else array
 
 
-def pieces(batches: Iterator[pa.Array], most_bytes: int = 8 << 20) -> Iterator[tuple[pa.Array, bool]]:
+def pieces(batches: Iterator[pa.Array], most_bytes: int = 2 << 20) -> Iterator[tuple[pa.Array, bool]]:
     """Cut string arrays into slices of about ``most_bytes`` of text (at least one row each), so memory stays bounded.
 
     The flag tells whether the slice ends its array.

@@ -9,17 +9,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression on dense features; the last weight is the bias, not penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    weight = np.ones(len(x)) if weight is None else weight
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25, rows: np.ndarray | None = None, chunk: int = 2048) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression on dense features; the last weight is the bias, not penalised.
+
+    ``rows`` picks rows of ``x`` and ``y``. Features are taken in chunks, so nothing of the size of ``x`` is made beside it.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
+    size = x.shape[1] + 1
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        gradient, curvature = penalty * w, np.diag(penalty)
+        for start in range(0, len(rows), chunk):
+            some = rows[start : start + chunk]
+            part = np.ones((len(some), size))
+            part[:, :-1] = x[some]
+            own = 1.0 if weight is None else weight[some]
+            p = sigmoid(part @ w)
+            gradient += part.T @ (own * (p - y[some]))
+            curvature += (part * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
         step = np.linalg.solve(curvature, gradient)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:

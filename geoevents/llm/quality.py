@@ -112,7 +112,7 @@ def cotrain(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, aside: np.ndarr
     labels = [y.astype(float).copy(), y.astype(float).copy()]
     used = [learn.copy(), learn.copy()]
     for _ in range(rounds):
-        w = [newton(views[v][used[v]], labels[v][used[v]]) for v in (0, 1)]
+        w = [newton(views[v], labels[v], rows=np.flatnonzero(used[v])) for v in (0, 1)]
         for v in (0, 1):
             p = sigmoid(margin(views[v][pool], w[v]))
             other = 1 - v
@@ -124,7 +124,7 @@ def cotrain(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, aside: np.ndarr
                 best = best[certain[best] >= SURE]
                 labels[other][open_rows[best]] = value
                 used[other][open_rows[best]] = True
-    w = [newton(views[v][used[v]], labels[v][used[v]]) for v in (0, 1)]
+    w = [newton(views[v], labels[v], rows=np.flatnonzero(used[v])) for v in (0, 1)]
     check = (y >= 0) & aside
     if len(set(y[check].tolist())) < 2:
         check = y >= 0
@@ -178,9 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_r
     y = table.column("y").to_numpy().astype(int)
     if len(set(y[y >= 0].tolist())) < 2:
         return None
-    x = table.column("view").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1).astype(np.float64)
+    x = table.column("view").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
     aside = table.column("aside").to_numpy(zero_copy_only=False).astype(bool)
-    return cotrain(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y, aside, rounds)
+    del table
+    model = cotrain(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y, aside, rounds)
+    del x
+    # The driver gives the sample's memory back.
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, into: str = "quality") -> DataFrame:
