@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import density as dn
 from ..operators import exposure as op
 from ..operators import star
-from ..operators.filters import event_filter
-from ..operators.ranking import marker_cap
 from ..schema import layer_category
 from .registry import query
 from .scalars import INTENSITY_SQL
@@ -70,14 +68,14 @@ def exposure_score(v):
 W, HGT = dn.segments(3.0)
 
 
-@query("density_field", f"""WITH m AS (SELECT category, lat, lng, COUNT(*) AS weight FROM (SELECT * FROM ev WHERE significance >= 50 ORDER BY significance DESC, id LIMIT 5000) JOIN layer_category USING (layer_id) GROUP BY ALL),
+@query("density_field", f"""WITH m AS (SELECT category, lat, lng, COUNT(*) AS weight FROM ev JOIN layer_category USING (layer_id) GROUP BY ALL),
   g AS (SELECT r, c, 90.0 - r*(180.0/{HGT}) AS vlat, c*(360.0/{W}) - 180 AS vlng FROM generate_series(0, {HGT}) a(r), generate_series(0, {W - 1}) b(c)),
-  d AS (SELECT category, r, c, weight, 2*asin(LEAST(1.0, sqrt(pow(sin(radians(vlat-lat)/2),2) + cos(radians(lat))*cos(radians(vlat))*pow(sin(radians(vlng-lng)/2),2)))) AS angle FROM m JOIN g ON vlat BETWEEN lat-12 AND lat+12),
+  d AS (SELECT category, r, c, weight, 2*asin(LEAST(1.0, sqrt(pow(sin(radians(vlat-lat)/2),2) + cos(radians(lat))*cos(radians(vlat))*pow(sin(radians(vlng-lng)/2),2)))) AS angle FROM m JOIN g ON vlat BETWEEN lat-12 AND lat+12 AND (abs(lat) > 77 OR abs(vlng-lng) < 70 OR abs(vlng-lng) > 290)),
   raw AS (SELECT category, r, c, SUM(weight*exp(-pow(angle/radians(3.0),2)/2)) AS raw FROM d WHERE angle < radians(12.0) GROUP BY ALL)
   SELECT category, r AS grid_row, c AS grid_col, ROUND(LEAST(1.0, raw*1.5/MAX(raw) OVER (PARTITION BY category)), 5)::DOUBLE AS density FROM raw""")
 def density_field(v):
-    """Density of exactly the markers shown, per category."""
-    markers = marker_cap(event_filter(v.ev, None, 50.0)).select(layer_category(F.col("layer_id")).alias("category"), "lat", "lng", F.lit(1.0).alias("weight"))
+    """Density of all events, per category."""
+    markers = v.ev.select(layer_category(F.col("layer_id")).alias("category"), "lat", "lng", F.lit(1.0).alias("weight"))
     field = dn.density_field(markers, "category", 3.0)
     return field.select("category", F.col("row").cast("bigint").alias("grid_row"), F.col("col").cast("bigint").alias("grid_col"), F.round("density", 5).alias("density"))
 

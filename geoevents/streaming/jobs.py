@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import geo as G
 from ..operators import hotspots as hs
 from ..operators import merge, tables
+from ..operators.dedup import last_wins
 from ..operators.filters import MAX_FEED_ERRORS, window_verdict
 from ..operators.links import geocode_fallback
 from ..operators.pairs import home_cell, reached_cells
@@ -62,11 +63,12 @@ def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[
 # ---------------------------------------------------------------- tables kept by key
 
 def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
-    """Events of repeated polls, the last one per key. ``order`` tells which copy is newer."""
+    """Events of repeated polls, the last one per key. ``order`` tells which copy is newer, also of copies that come in different batches; of equal ones the later batch counts."""
     def step(batch: DataFrame, batch_id: int) -> None:
         def change(stored: DataFrame | None) -> DataFrame:
             empty = batch.limit(0) if stored is None else stored
-            return merge.upsert_full(empty, batch, keys, F.col(order))
+            both = empty.withColumn("_later", F.lit(0)).unionByName(batch.withColumn("_later", F.lit(1)))
+            return last_wins(both, keys, F.struct(order, "_later")).select(*empty.columns)
         apply_once(root, batch_id, batch.sparkSession, change, checkpoint, tables.by_hash(keys, buckets), batch)
     per_batch(stream, step, checkpoint)
 

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +192,23 @@ def test_density(spark):
     width, _ = D.segments(6.0)
     columns = {r["col"] for r in field.select("col").distinct().collect()}
     assert 0 in columns and width - 1 in columns, "reaches across the dateline"
+    # Tiles and their shares are only a way to work it out.
+    rng = random.Random(3)
+    spots = [(rng.choice("ab"), rng.choice([0.0, 89.0, -89.5, rng.uniform(-90, 90)]), rng.choice([179.9, -179.9, rng.uniform(-180, 180)]), rng.choice([1.0, 2.0, -0.5])) for _ in range(60)]
+    want = {}
+    for g, lat, lng, w in spots:
+        for row in range(D.segments(12.0)[1] + 1):
+            for col in range(D.segments(12.0)[0]):
+                p, q = math.radians(lat), math.radians(90 - row * 180 / D.segments(12.0)[1])
+                d = math.radians(col * 360 / D.segments(12.0)[0] - 180 - lng)
+                angle = 2 * math.asin(min(1.0, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
+                if angle < math.radians(48.0):
+                    want[g, row, col] = want.get((g, row, col), 0.0) + w * math.exp(-((angle / math.radians(12.0)) ** 2) / 2)
+    points = spark.createDataFrame(spots, "g string, lat double, lng double, weight double")
+    for size, share in ((D.TILE, D.TILE_POINTS), (16, 3)):
+        got = {(r["g"], r["row"], r["col"]): r["raw"] for r in D.density_field(points, "g", 12.0, size, share).collect()}
+        assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    assert D.density_field(points.limit(0), "g", 12.0).collect() == []
 
 
 def test_locality(spark):
