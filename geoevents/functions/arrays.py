@@ -28,12 +28,12 @@ def bind(value: Column, body) -> Column:
 
 
 def first_by(items: Column, key) -> Column:
-    """Items in order, keeping the first for each key and none with a blank key."""
-    def step(acc: Column, item: Column) -> Column:
-        seen = F.exists(acc, lambda kept: key(kept) == key(item))
-        return F.when(seen | (F.coalesce(key(item), F.lit("")) == ""), acc).otherwise(F.concat(acc, F.array(item)))
+    """Items in order, keeping the first for each key and none with a blank key: those whose key first stands where they stand."""
+    def once(all_items: Column) -> Column:
+        first = lambda keys: F.filter(all_items, lambda x, i: (F.coalesce(key(x), F.lit("")) != "") & (F.array_position(keys, key(x)) == i + 1))
+        return bind(F.transform(all_items, key), first)
 
-    return bind(items, lambda all_items: F.aggregate(all_items, F.filter(all_items, lambda _: F.lit(False)), step))
+    return bind(items, once)
 
 
 def merge_links(first: Column, second: Column) -> Column:
@@ -136,9 +136,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Vector scaled to length 1; null for a zero vector."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 1e-12, F.transform(v, lambda x: x.cast("double") / length))
+    """Vector scaled to length 1; null for a zero vector. The vector and its length are worked out once."""
+    scaled = lambda u: lambda length: F.when(length > 1e-12, F.transform(u, lambda x: x.cast("double") / length))
+    return bind(v, lambda u: bind(F.sqrt(dot(u, u)), scaled(u)))
 
 
 def minus(a: Column, b: Column) -> Column:

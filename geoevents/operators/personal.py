@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,22 +91,25 @@ def interest_keys(spark: SparkSession, catalogue: list[tuple]) -> DataFrame:
 def event_interests(events: DataFrame, catalogue: list[tuple], terms: Column | None = None) -> DataFrame:
     """One row per event and matching interest (id, interest_id, label, position, score): whole words 1, layer or region 0.6.
 
-    An event lists its keys (words and word sequences as long as the longest keyword, its layer, the regions it lies in),
+    An event lists its keys (the catalogue's words and word sequences it says, its layer, the regions it lies in),
     and the keys meet the catalogue, a constant that fits into every task.
     """
     text = F.col("title") if terms is None else F.concat_ws(" ", F.col("title"), F.array_join(terms, " "))
-    key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    longest = max((len(k.split()) for row in catalogue for k in row[4]), default=1)
+    key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    known = frozenset(k for row in catalogue for k in row[4])
+    lengths = sorted({len(k.split()) for k in known})
 
-    def sequences(words: Column) -> Column:
-        run = lambda n: lambda start: F.array_join(F.slice(words, start, n), " ")
-        runs = [F.transform(F.sequence(F.lit(1), F.size(words)), run(n)) for n in range(1, longest + 1)]
-        return F.when(F.size(words) > 0, F.array_distinct(F.concat(*runs))).otherwise(F.array().cast("array<string>"))
+    def said(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            found = [{run for n in lengths for i in range(len(words) - n + 1) if (run := words[i] if n == 1 else " ".join(words[i : i + n])) in known} if words else set() for words in array.to_pylist()]
+            yield pa.array([sorted(f) for f in found], pa.list_(pa.string()))
 
+    said.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     boxes = [F.when(F.col("lat").between(south, north) & F.col("lng").between(west, east), key("place")(F.lit(row[0])))
              for row in catalogue if row[5] for south, north, west, east in [row[5]]]
-    keys = F.concat(F.transform(sequences(F.col("_words")), key("word")), F.array(key("layer")(F.col("layer_id"))), F.array_compact(F.array(*boxes)) if boxes else F.array())
-    listed = events.withColumn("_words", X.word_list(text)).select("id", F.inline(keys))
+    worded = events.withColumn("_said", F.arrow_udf(said, "array<string>")(X.word_list(text)))
+    keys = F.concat(F.transform("_said", key("word")), F.array(key("layer")(F.col("layer_id"))), F.array_compact(F.array(*boxes)) if boxes else F.array())
+    listed = worded.select("id", F.inline(keys))
     met = listed.join(F.broadcast(interest_keys(events.sparkSession, catalogue)), ["kind", "key"])
     return met.groupBy("id", "interest_id", "label", "position").agg(F.max("score").alias("score"))
 
@@ -148,22 +150,27 @@ def top_feed(scored: DataFrame, stories: DataFrame, n: int = 20) -> DataFrame:
     best = placed.filter("root is null").select(*columns).unionByName(grouped.select(*keys, "e.*"))
     short = first_k(best, ["user_id", "category"], order, PER_CATEGORY * categories)
     kind = dict(scored.dtypes)["user_id"]
+    names = ["user_id", "id", "category", "score", "story"]
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(neg=-rows["score"]).sort_values(["neg", "id"])
-        taken, stories_seen, used = [], set(), {}
-        for i, story, category in zip(rows.index, rows["story"], rows["category"]):
-            if story in stories_seen or used.get(category, 0) >= PER_CATEGORY:
-                continue
-            stories_seen.add(story)
-            used[category] = used.get(category, 0) + 1
-            taken.append(i)
-            if len(taken) == n:
-                break
-        out = rows.loc[taken, ["user_id", "id", "category", "score"]]
-        return out.assign(rank=range(1, len(out) + 1))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, seen, used, taken, schema = object(), set(), {}, 0, None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in names[:4]]).append(pa.field("rank", pa.int32()))
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[0] != user:
+                    user, seen, used, taken = row[0], set(), {}, 0
+                if taken == n or row[4] in seen or used.get(row[2], 0) >= PER_CATEGORY:
+                    continue
+                seen.add(row[4])
+                used[row[2]] = used.get(row[2], 0) + 1
+                taken += 1
+                out.append((*row[:4], taken))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return short.groupBy("user_id").applyInPandas(walk, f"user_id {kind}, id string, category string, score double, rank int")
+    # A user's rows stream through one task in order.
+    stream = short.select(*names).repartition("user_id").sortWithinPartitions("user_id", *order)
+    return stream.mapInArrow(walk, f"user_id {kind}, id string, category string, score double, rank int")
 
 
 def liked_reason(feed: DataFrame, signals: DataFrame, vectors: DataFrame, titles: DataFrame, at_least: float = SIMILAR_REASON) -> DataFrame:
@@ -219,17 +226,17 @@ def reading_list(saved: DataFrame, events: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- request-based feed
 
-def keyword_feed(configs: DataFrame, events: DataFrame, as_of: Column, n: int = 20, stage1: int = 5000, days: int = 7) -> DataFrame:
+def keyword_feed(configs: DataFrame, events: DataFrame, as_of: Column, n: int = 20, stage1: int | None = None, days: int = 7) -> DataFrame:
     """Events ranked for each request config. configs: user_id, layers, keywords, coordinates, floor; events: id, title, terms, …
 
-    Configs meet events on the layer; floor and week are filters; of these the newest ``stage1`` per user are scored.
+    Configs meet events on the layer; floor and week are filters. With ``stage1`` only the newest so many of a user's are scored (a cost rule), by default all of them.
     """
     # Words are prepared once per event and once per config, before they meet.
     wanted = configs.withColumn("layer_id", F.explode(F.array_distinct("layers"))).withColumn("keywords", X.prepared_keywords(F.col("keywords"))).drop("layers")
     recent = events.filter(F.col("occurred_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).withColumn("tokens", X.search_words(F.col("title"), F.col("terms"))).select(
         "id", "layer_id", "lat", "lng", "significance", "occurred_at", "tokens", F.array_join("tokens", " ").alias("full"))
     met = recent.join(wanted, "layer_id").filter(F.col("significance") >= F.col("floor"))
-    pool = first_k(met, ["user_id"], [F.desc("occurred_at"), F.asc("id")], stage1, "newest")
+    pool = met if stage1 is None else first_k(met, ["user_id"], [F.desc("occurred_at"), F.asc("id")], stage1, "newest")
     distance = F.array_min(F.transform("coordinates", lambda p: G.haversine_km(F.col("lat"), F.col("lng"), p["lat"], p["lng"])))
     keyword = X.keyword_hits(F.col("tokens"), F.col("full"), F.col("keywords"))
     scored = pool.withColumn("keyword", keyword).withColumn("score", F.round(

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INTERESTS, LAYER_CATEGORY, LAYERS
-from ..session import prepare
+from ..session import prepare, widened
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
+#: Tables whose rows cost much work.
+WIDE = {"events", "documents", "pages"}
 AS_OF = "2024-01-31 00:00:00"
 SOURCES = ["usgs", "gdacs", "firms", "gnews", "wikifeeds", "conflict_csv", "rss"]
 WORDS = ["football", "election", "earthquake", "flood", "market", "school", "museum", "strike", "refugee", "vaccine", "software",
@@ -160,7 +162,8 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return widened(table) if name in WIDE else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

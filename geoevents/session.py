@@ -56,6 +56,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, as of one small file, with its rows dealt out to all of them.
+
+    Filters and columns still reach the scan. A table of many files or blocks is left as it is. For scans only: counting partitions must not run anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage on reliable storage, so iterations stay short and survive executor loss."""
     shared_dir(df.sparkSession)
