@@ -2,7 +2,7 @@
 
 Sources are files landed in a folder; every job runs until it has taken in what is there (``availableNow``) and can be run again
 to continue from its checkpoint. Keyed tables lie in buckets (``operators.tables``): inside ``foreachBatch`` a batch rewrites the buckets it
-has rows for, and the version notes the batch it came from, so a batch repeated after a failure changes nothing. For very large state set the RocksDB provider (``session.ROCKSDB_PROVIDER``).
+has rows for, and the version notes the batch it came from, so a batch repeated after a failure changes nothing. State is kept on disk by the RocksDB provider.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from ..operators.filters import MAX_FEED_ERRORS, window_verdict
 from ..operators.links import geocode_fallback
 from ..operators.pairs import home_cell, reached_cells
 from ..operators.ranking import last_interactions, saved_since
-from ..session import scratch_path
+from ..session import PROVIDER_KEY, ROCKSDB_PROVIDER, scratch_path
 
+#: How late rows may come in joins and densities, by default; later ones are counted, not used.
 LATE = "2 days"
+#: Failures of a feed that its state lists one by one.
+LISTED = 1_000
 #: Buckets of a table kept by key; a batch rewrites those that it brings rows for.
 BUCKETS = 16
 
@@ -38,13 +41,32 @@ def read_files(spark: SparkSession, folder: str, schema: Any, pattern: str = "*.
     return reader.parquet(folder)
 
 
-def append_to(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Append rows as files, exactly once, until the input is taken in."""
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_out(writer: Any, spark: SparkSession) -> int:
+    """Run a stream until its input is taken in, with state on disk (RocksDB). Returns how many rows its watermarks turned away as too late.
+
+    The state's provider is noted in the checkpoint, so a checkpoint of another provider cannot be gone on with.
+    """
+    settings = {PROVIDER_KEY: ROCKSDB_PROVIDER, "spark.sql.streaming.numRecentProgressUpdates": "100000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        # A query takes the settings over as it starts.
+        job = writer.trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    job.awaitTermination()
+    return sum(int(state.numRowsDroppedByWatermark) for progress in job.recentProgress for state in progress.stateOperators)
+
+
+def append_to(stream: DataFrame, out: str, checkpoint: str) -> int:
+    """Append rows as files, exactly once, until the input is taken in; returns the number of late rows."""
+    return run_out(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"), stream.sparkSession)
 
 
-def per_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def per_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    return run_out(stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode), stream.sparkSession)
 
 
 def apply_once(root: str, batch_id: int, spark: SparkSession, change: Callable[[DataFrame | None], DataFrame], writer: str = "", bucket: Column | None = None,
@@ -106,11 +128,11 @@ def window_tally(stream: DataFrame, root: str, checkpoint: str, as_of: Column, h
 
 # ---------------------------------------------------------------- densities and clusters
 
-def cell_density_stream(stream: DataFrame, out: str, checkpoint: str, step: float = 1.0, bucket: str = "1 day", slide: str | None = None) -> None:
-    """Weight and count per cell and time bucket, written when the bucket can no longer change."""
+def cell_density_stream(stream: DataFrame, out: str, checkpoint: str, step: float = 1.0, bucket: str = "1 day", slide: str | None = None, late: str = LATE) -> int:
+    """Weight and count per cell and time bucket, written when the bucket can no longer change. Returns the number of rows that came too late."""
     cells = stream.withColumn("cell_lat", G.grid_cell(F.col("lat"), step)).withColumn("cell_lng", G.grid_cell(F.col("lng"), step))
-    grouped = cells.withWatermark("ts", LATE).groupBy(F.window("ts", bucket, slide), "cell_lat", "cell_lng").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-    append_to(grouped.select(F.col("window.start").alias("start"), "cell_lat", "cell_lng", "weight", "n"), out, checkpoint)
+    grouped = cells.withWatermark("ts", late).groupBy(F.window("ts", bucket, slide), "cell_lat", "cell_lng").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    return append_to(grouped.select(F.col("window.start").alias("start"), "cell_lat", "cell_lng", "weight", "n"), out, checkpoint)
 
 
 def hotspot_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
@@ -168,28 +190,37 @@ def profile_summary(profile: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- feed health
 
-def feed_health_stream(polls: DataFrame, out: str, checkpoint: str) -> None:
+def feed_health_stream(polls: DataFrame, out: str, checkpoint: str, listed: int = LISTED) -> None:
     """Consecutive failures per feed. Input: feed_url, seq, ok. Every batch appends the new state of the feeds it touched.
 
-    The state is the last success and the failures after it, so polls may come in any order, also in later batches.
+    The state is the last success, the newest ``listed`` failures after it, and the number of those before them, so it stays small for a feed that never succeeds. Polls may come in any order. A success that
+    comes so late that failures before and after it are no longer listed is not used, and counted in ``late``.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ok, last, known = state.get if state.exists else (-1, -1, [])
+        last_ok, last, folded, folded_to, late, known = state.get if state.exists else (-1, -1, 0, -1, 0, [])
         failed = np.asarray(known, dtype=np.int64)
         for rows in batches:
             ok = rows["ok"].to_numpy(dtype=bool)
             seq = rows["seq"].to_numpy(dtype=np.int64)
-            last_ok = max(last_ok, int(seq[ok].max()) if ok.any() else -1)
+            good, bad = seq[ok], seq[~ok]
+            late += int(((good > last_ok) & (good <= folded_to)).sum())
+            usable = good[(good > folded_to) | (folded_to < 0)]
+            if len(usable) and usable.max() > last_ok:
+                last_ok, folded, folded_to = int(usable.max()), 0, -1
             # Only failures after the last success count.
-            failed = np.concatenate([failed, seq[~ok]])
+            bad = bad[bad > last_ok]
+            folded += int((bad <= folded_to).sum())
+            failed = np.sort(np.concatenate([failed, bad[bad > folded_to]]))
             failed = failed[failed > last_ok]
+            if len(failed) > listed:
+                folded, folded_to, failed = folded + len(failed) - listed, int(failed[-listed - 1]), failed[-listed:]
             last = max(last, int(seq.max()))
-        errors = len(failed)
-        state.update((int(last_ok), int(last), [int(x) for x in failed]))
-        yield pd.DataFrame({"feed_url": [key[0]], "error_count": [int(errors)], "last_seq": [int(last)], "paused": [bool(errors >= MAX_FEED_ERRORS)]})
+        errors = folded + len(failed)
+        state.update((int(last_ok), int(last), int(folded), int(folded_to), int(late), [int(x) for x in failed]))
+        yield pd.DataFrame({"feed_url": [key[0]], "error_count": [int(errors)], "last_seq": [int(last)], "paused": [bool(errors >= MAX_FEED_ERRORS)], "late": [int(late)]})
 
     states = polls.groupBy("feed_url").applyInPandasWithState(
-        update, "feed_url string, error_count bigint, last_seq bigint, paused boolean", "last_ok bigint, last bigint, failed array<bigint>", "update", GroupStateTimeout.NoTimeout)
+        update, "feed_url string, error_count bigint, last_seq bigint, paused boolean, late bigint", "last_ok bigint, last bigint, folded bigint, folded_to bigint, late bigint, failed array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         # A batch has its own folder, so a repeated batch replaces itself.
@@ -212,13 +243,14 @@ def enrich_stream(items: DataFrame, publishers: DataFrame, gazetteer: DataFrame,
     append_to(geocode_fallback(named, gazetteer, centroids), out, checkpoint)
 
 
-def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkpoint: str, km: float, days: int) -> None:
-    """News up to ``days`` after a disaster within ``km``: a join of two streams on grid cells, with bounded state on both sides."""
-    late_news = reached_cells(news, km).select("band", "cell", F.col("id").alias("news_id"), F.col("ts").alias("news_ts"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).withWatermark("news_ts", LATE)
-    late_fact = home_cell(disasters, km).select(F.col("band").alias("dband"), F.col("cell").alias("dcell"), F.col("id").alias("disaster_id"), F.col("ts").alias("dis_ts"), F.col("lat").alias("dlat"), F.col("lng").alias("dlng")).withWatermark("dis_ts", LATE)
+def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkpoint: str, km: float, days: int, late: str = LATE) -> int:
+    """News up to ``days`` after a disaster within ``km``: a join of two streams on grid cells, with bounded state on both sides. Returns the number of copies of rows (one per
+    cell a row reaches) that came too late."""
+    late_news = reached_cells(news, km).select("band", "cell", F.col("id").alias("news_id"), F.col("ts").alias("news_ts"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).withWatermark("news_ts", late)
+    late_fact = home_cell(disasters, km).select(F.col("band").alias("dband"), F.col("cell").alias("dcell"), F.col("id").alias("disaster_id"), F.col("ts").alias("dis_ts"), F.col("lat").alias("dlat"), F.col("lng").alias("dlng")).withWatermark("dis_ts", late)
     within = F.expr(f"band = dband AND cell = dcell AND news_ts >= dis_ts AND news_ts <= dis_ts + INTERVAL {days} DAYS")
     pairs = late_news.join(late_fact, within).withColumn("km", G.haversine_km(F.col("nlat"), F.col("nlng"), F.col("dlat"), F.col("dlng"))).filter(F.col("km") <= km)
-    append_to(pairs.select("news_id", "disaster_id", "km"), out, checkpoint)
+    return append_to(pairs.select("news_id", "disaster_id", "km"), out, checkpoint)
 
 
 def places_for(spark: SparkSession, name: str) -> tuple[str, str]:

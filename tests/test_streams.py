@@ -59,7 +59,7 @@ def test_density_emits_closed_days_only(spark, tmp_path):
     add([1, 1, 2, 6])
     run()
     add([1, 7, 20])  # the first is too late: its day is closed
-    run()
+    assert run() == 1, "and is counted"
     got = {r["start"].day: r["n"] for r in spark.read.parquet(out).collect()}
     assert got == {1: 2, 2: 1, 6: 1, 7: 1}
 
@@ -135,3 +135,20 @@ def test_ids_are_never_forgotten_unless_asked(spark, tmp_path):
         land(spark, source, [("same", 1, 1.0, f"{day} 00:00:00", k), (f"only{k}", 1, 1.0, f"{day} 00:00:00", k)], "1")
         jobs.unique_items(jobs.read_files(spark, str(source), KIND), ["id"], out, check)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["only0", "only1", "only2", "same"]
+
+
+def test_state_of_a_feed_that_never_succeeds_stays_small(spark, tmp_path):
+    source, out, check = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "c")
+    polls = lambda rows: spark.createDataFrame(rows, "feed_url string, seq bigint, ok boolean").coalesce(1).write.mode("append").parquet(str(source))
+    run = lambda: jobs.feed_health_stream(jobs.read_files(spark, str(source), "feed_url string, seq bigint, ok boolean"), out, check, listed=20)
+    latest = lambda: {r["feed_url"]: (r["error_count"], r["late"]) for r in spark.read.parquet(out).groupBy("feed_url").agg(F.max_by(F.struct("error_count", "late"), "batch").alias("s")).select("feed_url", "s.*").collect()}
+    for k in range(3):
+        polls([("never", k * 100 + i, False) for i in range(100)] + [("once", k * 100 + i, False) for i in range(100)])
+        run()
+    assert latest() == {"never": (300, 0), "once": (300, 0)}
+    state = spark.read.format("statestore").load(check)
+    assert state.select(F.max(F.size("value.groupState.failed"))).first()[0] == 20
+    # A late failure counts; a success among the listed ones takes back what is before it; one among the others is too late.
+    polls([("never", 50, True), ("never", 51, False), ("once", 289, True), ("once", 5, False)])
+    run()
+    assert latest() == {"never": (301, 1), "once": (10, 0)}
