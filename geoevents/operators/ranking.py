@@ -75,19 +75,6 @@ def canonical_order(events: DataFrame) -> DataFrame:
     return events.orderBy(F.desc("occurred_at"), F.asc("id"))
 
 
-def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One number that changes with the set of rows; combines map-side and needs no order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    return rows.agg(F.bit_xor(number).alias("fingerprint"), F.count(F.lit(1)).alias("total"))
-
-
-def event_page(events: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One page of the canonical order, with the fingerprint of the whole result it belongs to."""
-    whole = fingerprint(events, "id", "t_us").select(F.struct("fingerprint", "total")).scalar()
-    return canonical_order(events).offset(offset).limit(limit).select("*", *[whole[c].alias(c) for c in ("fingerprint", "total")])
-
-
 def click_cap(actions: DataFrame) -> DataFrame:
     """Per user and event: the three newest article clicks and the newest open."""
     newest = [F.desc("acted_at"), F.desc("seq")]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import paging
 from ..operators import ranking as op
+from ..session import scratch_path
 from .registry import query
 
 
@@ -101,7 +103,13 @@ def tour_order(v):
     return op.tour_order(v.ev.select("id", "lat", "lng"))
 
 
-@query("event_page", """WITH f AS (SELECT bit_xor(CAST('0x' || substr(md5(id || '|' || CAST(t_us AS VARCHAR)), 1, 15) AS BIGINT)) AS fingerprint, COUNT(*) AS total FROM ev),
+_SHOWN = "id || '|' || CAST(t_us AS VARCHAR) || '|' || CAST(user_id AS VARCHAR) || '|' || event_type || '|' || layer_id || '|' || source || '|' || title || '|' || COALESCE(country_iso3, '~') || '|' || COALESCE(location, '~') || '|' || COALESCE(alert_level, '~') || '|' || COALESCE(image_url, '~') || '|' || COALESCE(canonical_id, '~')"
+
+
+@query("event_page", f"""WITH f AS (SELECT CAST(SUM(CAST('0x' || substr(md5({_SHOWN}), 1, 15) AS BIGINT)) % 1152921504606846976 AS BIGINT) AS fingerprint, COUNT(*) AS total FROM ev),
   p AS (SELECT id, occurred_at FROM ev ORDER BY occurred_at DESC, id LIMIT 2000 OFFSET 2000) SELECT id, occurred_at, fingerprint, total FROM p CROSS JOIN f""")
 def event_page(v):
-    return op.event_page(v.ev.select("id", "occurred_at", "t_us"), 2000, 2000).select("id", "occurred_at", "fingerprint", "total")
+    shown = ["id", "t_us", "user_id", "event_type", "layer_id", "source", "title", "country_iso3", "location", "alert_level", "image_url", "canonical_id"]
+    root = scratch_path(v.spark, "pages")
+    paging.write_snapshot(v.ev.select("occurred_at", *shown), root, shown, range_rows=2500)
+    return paging.page_at(v.spark, root, 2000, 2000).select("id", "occurred_at", "fingerprint", "total")
