@@ -16,11 +16,12 @@ _CONTAINS = " UNION ALL ".join(
     f"SELECT id, '{c}' AS country_id, {i} AS position FROM pt WHERE " + " OR ".join(f"({_IN(rings)})" for rings in parts) for i, (c, _n, parts) in enumerate(COUNTRIES))
 UNDER = f"{_POINTS}, inn AS ({_CONTAINS}), un AS (SELECT id, arg_min(country_id, position) AS under FROM inn GROUP BY id)"
 _WRAP = lambda d: f"(({d}) + 540 - 360*floor((({d}) + 540)/360) - 180)"
-COAST = f"""ed AS (SELECT p.id, p.lat, cos(radians(p.lat)) AS sc, e.country_id, d.position, {_WRAP('e.x1 - p.x')} AS a0, {_WRAP('e.x2 - e.x1')} AS ab, e.y1 - p.lat AS py, e.y2 - p.lat AS qy FROM pt p JOIN country_edge e ON e.ring = 0 JOIN country_dim d ON d.country_id = e.country_id),
-  e2 AS (SELECT *, a0*sc AS px, (a0+ab)*sc AS qx FROM ed), e3 AS (SELECT *, qx-px AS dx, qy-py AS dy FROM e2),
-  e4 AS (SELECT *, CASE WHEN dx*dx+dy*dy <> 0 THEN GREATEST(0, LEAST(1, -(px*dx+py*dy)/(dx*dx+dy*dy))) ELSE 0 END AS t FROM e3),
-  e5 AS (SELECT id, country_id, position, pow(px+t*dx,2)+pow(py+t*dy,2) AS d2 FROM e4),
-  co AS (SELECT id, country_id AS coast, sqrt(d2) AS degrees FROM e5 WHERE d2 < 6.25 QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY d2, position, country_id) = 1)"""
+# Distance beside the line of an edge and beyond its ends, in the plane of the position.
+COAST = f"""ed AS (SELECT p.id, e.country_id, d.position, {_WRAP('e.x1 - p.x')} * cos(radians(p.lat)) AS east, e.y1 - p.lat AS north, {_WRAP('e.x2 - e.x1')} * cos(radians(p.lat)) AS run, e.y2 - e.y1 AS rise
+    FROM pt p JOIN country_edge e ON e.ring = 0 JOIN country_dim d ON d.country_id = e.country_id),
+  ln AS (SELECT *, sqrt(run*run + rise*rise) AS size FROM ed),
+  ds AS (SELECT id, country_id, position, CASE WHEN size = 0 THEN east*east + north*north ELSE pow((east*rise - north*run) / size, 2) + pow(GREATEST((east*run + north*rise) / size, -(east*run + north*rise) / size - size, 0), 2) END AS square FROM ln),
+  co AS (SELECT id, country_id AS coast, sqrt(ROUND(square, 12)) AS degrees FROM ds WHERE ROUND(square, 12) < 6.25 QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY ROUND(square, 12), position, country_id) = 1)"""
 KEYWORD = "CASE WHEN event_id % 6 = 2 THEN CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '21 km NE of Lae, {n}'" for i, n in enumerate(ALIAS_PLACES)) + " END END"
 NAMED = f"""nm AS (SELECT id, coalesce(location || ',', '') || coalesce({KEYWORD}, '') AS txt FROM ev),
   pc AS (SELECT id, generate_subscripts(string_split(txt, ','), 1) AS pos, lower(trim(regexp_replace(unnest(string_split(txt, ',')), '\\(.*?\\)', '', 'g'))) AS name FROM nm),
