@@ -4,6 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from geoevents.operators import exposure as E
+from geoevents.operators import filters as FI
+from geoevents.operators import merge as M
 from geoevents.sources import feeds as S
 from geoevents.sources import kinds as K
 
@@ -201,3 +204,24 @@ def test_outlines_and_catalogue(spark, tmp_path):
     lost = " " * 120
     rows = S.catalog_stars(spark.createDataFrame([(star,), (lost,)], "value string")).collect()
     assert [tuple(r) for r in rows] == [(3.13, -45.26, 1.46, 0.6)]
+
+
+def test_population_cells_are_read_and_summed(spark, tmp_path):
+    # Five by five cells around the hazard; -200 is no data. The sum within 1.3 km is known.
+    path = str(tmp_path / "pop")
+    spark.createDataFrame([(0, 0, 0.0, 0.01, 30.0), (0, 0, 0.0, 0.0, 1000.0), (0, 0, 0.01, 0.0, -200.0), (0, 1, 0.5, 0.5, 70.0)], "tile_row int, tile_col int, lat double, lng double, pop double").write.parquet(path)
+    cells = S.read_population(spark, path)
+    circle = spark.createDataFrame([(0.0, 0.0, 1.3)], "lat double, lng double, radius_km double")
+    assert E.people_in_radius(circle, cells).first()["people"] == 1030.0
+
+
+def test_a_pull_is_recorded_and_named_by_its_rows(spark):
+    batch = M.record_batch(spark, "usgs", as_of(), F.lit('{"kept": 2}')).first()
+    assert (batch["source"], batch["payload"], str(batch["pulled_at"])) == ("usgs", '{"kept": 2}', AS_OF) and len(batch["batch_id"]) == 36
+    row = M.with_lineage(spark.range(1), F.lit(batch["batch_id"])).first()
+    assert row["raw_ref"] == f"raw.ingest_batch:{batch['batch_id']}"
+
+
+def test_only_web_addresses_are_citations(spark):
+    df = spark.createDataFrame([(["https://a", "notes", "http://b", None, ""],)], "c array<string>")
+    assert df.select(FI.web_citations(F.col("c"))).first()[0] == ["https://a", "http://b"]
