@@ -245,18 +245,18 @@ def story_events(days: DataFrame) -> DataFrame:
                                               F.lit("news").alias("layer_id"), title.alias("title"), plain.alias("summary"), c("wiki_date").cast("timestamp").alias("occurred_at"))
 
 
-def feed_items(entries: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
-    """Parsed feed entries as items, each with the reason it is dropped for (null: kept).
+def feed_items(entries: DataFrame, as_of: Column, hours: int = 48, closed: bool = False) -> DataFrame:
+    """Parsed feed entries as items, each with the reason it is dropped for (null: kept). ``closed`` as in ``clean_text``.
 
     Input: link, title, summary, published_at, media, enclosures, language, feed_url, publisher_id, country.
     """
-    title = X.clean_text(c("title"), 400)
+    title = X.clean_text(c("title"), 400, closed)
     url = X.canonical_url(c("link"))
     staged = entries.withColumns({"clean_title": title, "url": url})
     reason = (F.when((F.coalesce(c("link"), F.lit("")) == "") | (c("clean_title") == ""), F.lit("no link/title"))
               .when(~window_verdict(c("published_at"), as_of, hours), F.lit("outside window")).otherwise(junk_reason(c("clean_title"), c("url"))))
     return staged.select(
-        F.sha1("url").alias("item_id"), "feed_url", "publisher_id", "country", "url", c("clean_title").alias("title"), F.nullif(X.clean_text(c("summary"), 600), F.lit("")).alias("summary"),
+        F.sha1("url").alias("item_id"), "feed_url", "publisher_id", "country", "url", c("clean_title").alias("title"), F.nullif(X.clean_text(c("summary"), 600, closed), F.lit("")).alias("summary"),
         X.entry_image(c("media"), c("enclosures"), c("summary")).alias("image_url"), F.nullif(F.lower(F.substring_index("language", "-", 1)), F.lit("")).alias("language"), "published_at", reason.alias("dropped"))
 
 
