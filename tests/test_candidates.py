@@ -89,3 +89,25 @@ def test_batches_hold_all_candidates(spark, seed):
     runs = C.candidate_runs(c, 4).collect()
     assert sum(x["n"] for x in runs) == sum(map(len, want.values()))
     assert all(x["last_batch"] == (x["first_no"] + x["n"] - 1) // 4 for x in runs)
+
+
+def test_place_pairs_carry_no_keywords(spark):
+    words = {"a": ["x1", "x2", "x3", "x4"], "b": ["X1", "x2", "x3", "x4"], "c": ["x1", "x2", "x3", "y"], "d": [], "e": ["z"], "f": None}
+    news = spark.createDataFrame([(i, "k" if i < "d" else "q", n, 1.0, 1.0, w) for n, (i, w) in enumerate(words.items())], "id string, category string, t_us long, lat double, lng double, keywords array<string>")
+    keyed = P.token_sets(news.select("id", P.lowered("keywords")), F.col("keywords"))
+    sets = P.distinct_sets(keyed)
+    near = P.news_place_pairs(news, keyed.select("id", "set_id"), sets, P.similar_sets(sets, P.KEYWORD_JACCARD), ("category",))
+    assert not any("keywords" in c or "tokens" in c for c in near.columns)
+    alike = {("a", "b"), ("a", "c"), ("b", "c")}
+    assert {tuple(sorted((r.id_a, r.id_b))) for r in near.collect()} == {(x, y) for x in words for y in words if x < y} - alike
+    counts = {r.id: (r.keyword, r.place, r.topic) for r in C.candidate_counts(C.news_candidates(news)).collect()}
+    assert counts == {"a": (0, 0, 0), "b": (1, 0, 0), "c": (2, 0, 0), "d": (0, 3, 0), "e": (0, 4, 0), "f": (0, 5, 0)}
+
+
+def test_bitmap_never_exceeds_the_difference(spark):
+    sets = [[f"w{(i * 7 + j * k) % 90}" for j in range(30)] for k, i in enumerate(range(20), 1)]
+    rows = spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "id string, words array<string>").select("id", F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"))).alias("ranked"), "words")
+    maps = {r.id: (set(r.words), [r[f"b{k}"] for k in range(P.BITMAPS)]) for r in rows.select("id", "words", *[P.bitmap("ranked", k).alias(f"b{k}") for k in range(P.BITMAPS)]).collect()}
+    bits = lambda x: bin(x & (1 << 64) - 1).count("1")
+    assert all(sum(bits(p ^ q) for p, q in zip(a[1], b[1])) <= len(a[0] ^ b[0]) for a in maps.values() for b in maps.values())
+    assert all(0 < sum(map(bits, m)) <= len(s) for s, m in maps.values())
