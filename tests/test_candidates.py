@@ -111,3 +111,30 @@ def test_bitmap_never_exceeds_the_difference(spark):
     bits = lambda x: bin(x & (1 << 64) - 1).count("1")
     assert all(sum(bits(p ^ q) for p, q in zip(a[1], b[1])) <= len(a[0] ^ b[0]) for a in maps.values() for b in maps.values())
     assert all(0 < sum(map(bits, m)) <= len(s) for s, m in maps.values())
+
+
+def disaster_tables(spark):
+    news = spark.createDataFrame([("n1", 1.0, 1.0, 5 * HOUR, "a flood")], "id string, lat double, lng double, t_us long, said string")
+    return news, spark.createDataFrame([("d1", 1.0, 1.1, 0, "flood"), ("d2", 1.0, 1.2, HOUR, "volcano")], "id string, lat double, lng double, t_us long, category string")
+
+
+def test_disaster_pairs_are_joined_once(spark):
+    news, hazards = disaster_tables(spark)
+    near = P.news_disaster_pairs(news, hazards)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(near) == 1
+    assert {(r.disaster_id, r.mentions) for r in near.collect()} == {("d1", True), ("d2", False)}
+
+
+def test_runs_need_no_second_join(spark):
+    news, hazards = disaster_tables(spark)
+    c = C.disaster_candidates(news, hazards, P.news_disaster_pairs(news, hazards))
+    assert c.near._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [(r.disaster_id, r.t_us) for r in c.near.collect()] == [("d2", HOUR)]
+
+
+def test_batches_move_pairs_once(spark):
+    rows = spark.range(25).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("item"), "id")
+    out = P.batches(rows, "k", "item", [F.desc("id")], 10)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["k"], r.batch): list(r["items"])[0] for r in out.collect()} == {(0, 0): "24", (0, 1): "4", (1, 0): "23", (1, 1): "3"}
