@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,26 @@ def test_perfect_hash_is_minimal_and_foreign_ids_are_refused():
         codec.decoder.decode(np.array([10**7]), np.array([1]))
 
 
+def test_ids_are_handed_on_slice_by_slice_and_decoded_in_bounded_steps(monkeypatch):
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    udfs = []
+    monkeypatch.setattr(bpe.F, "arrow_udf", lambda f, kind: udfs.append(f) or (lambda column: column))
+    bpe.round_trip("text", SimpleNamespace(value=codec))
+    texts = [f"{k} Zwölf Boxkämpfer jagen {k * k} xqzv{k}" + " lang" * 20_000 for k in range(60)] + [None, ""]
+    steps = []
+    looked_up = np.repeat
+    monkeypatch.setattr(bpe.np, "repeat", lambda a, n, *more: steps.append(len(a)) or looked_up(a, n, *more))
+    results = list(udfs[0](iter([pa.array(texts)])))
+    # About 6 MB of text in slices of 2 MB: no result holds the whole batch, and no lookup takes more ids than its bound.
+    assert len(results) > 2 and max(len(r) for r in results) < 40
+    assert max(steps) <= bpe.AT_ONCE
+    done = [x for r in results for x in r.to_pylist()]
+    assert [x["decoded"].decode() for x in done] == [t or "" for t in texts]
+    assert [len(x["ids"]) for x in done] == [codec.encode([t or ""])[1][0] for t in texts]
+    assert all(type(ids) is bytes for ids in codec.memory.values())
+
+
 def test_sharding(spark):
     rng = random.Random(3)
     texts = [*ODD, *(words(rng, rng.randint(1, 300)) for _ in range(400)), *["copy of one"] * 100]
