@@ -22,7 +22,7 @@ from ..operators import merge, tables
 from ..operators.dedup import last_wins
 from ..operators.filters import MAX_FEED_ERRORS, window_verdict
 from ..operators.links import geocode_fallback
-from ..operators.pairs import home_cell, reached_cells
+from ..operators.pairs import DAY, tile_join
 from ..operators.ranking import last_interactions, saved_since
 from ..session import PROVIDER_KEY, ROCKSDB_PROVIDER, scratch_path
 
@@ -244,13 +244,50 @@ def enrich_stream(items: DataFrame, publishers: DataFrame, gazetteer: DataFrame,
 
 
 def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkpoint: str, km: float, days: int, late: str = LATE) -> int:
-    """News up to ``days`` after a disaster within ``km``: a join of two streams on grid cells, with bounded state on both sides. Returns the number of copies of rows (one per
-    cell a row reaches) that came too late."""
-    late_news = reached_cells(news, km).select("band", "cell", F.col("id").alias("news_id"), F.col("ts").alias("news_ts"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).withWatermark("news_ts", late)
-    late_fact = home_cell(disasters, km).select(F.col("band").alias("dband"), F.col("cell").alias("dcell"), F.col("id").alias("disaster_id"), F.col("ts").alias("dis_ts"), F.col("lat").alias("dlat"), F.col("lng").alias("dlng")).withWatermark("dis_ts", late)
-    within = F.expr(f"band = dband AND cell = dcell AND news_ts >= dis_ts AND news_ts <= dis_ts + INTERVAL {days} DAYS")
-    pairs = late_news.join(late_fact, within).withColumn("km", G.haversine_km(F.col("nlat"), F.col("nlng"), F.col("dlat"), F.col("dlng"))).filter(F.col("km") <= km)
-    return append_to(pairs.select("news_id", "disaster_id", "km"), out, checkpoint)
+    """News up to ``days`` after a disaster within ``km``. Returns the number of rows that came too late.
+
+    A batch's rows meet each other and the open rows of earlier batches in tiles (``tile_join``), not row by row in a state store. Rows are late if they are not newer than ``late`` before
+    the newest row of the side that is behind, as earlier batches left it; what no timely row can meet any more is dropped from the open rows. Batch k reads those that batch k - 1 left, and
+    replaces its own pairs and open rows, so a repeated batch changes nothing.
+    """
+    marked = lambda df, is_news: df.select("id", "lat", "lng", "ts", F.lit(is_news).alias("is_news"))
+    too_late: list[int] = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Two folders in turn: the one a batch reads is not the one it writes.
+        kept = lambda k: f"{out}-open/{k % 2}"
+        rows = batch.select("id", "lat", "lng", F.unix_micros("ts").alias("t_us"), "is_news").persist()
+        try:
+            known = spark.read.schema(rows.schema).parquet(kept(batch_id - 1)) if batch_id else rows.limit(0)
+            mark = closed_before(known, late) if batch_id else None
+            fresh = rows
+            if mark is not None:
+                too_late.append(rows.filter(F.col("t_us") <= mark).count())
+                fresh = rows.filter(F.col("t_us") > mark)
+            side = lambda df, is_news: df.filter(F.col("is_news") == is_news).drop("is_news")
+            lag = days * DAY
+            pairs = tile_join(side(fresh, True), side(fresh.unionByName(known), False) if batch_id else side(fresh, False), km, lag)
+            if batch_id:
+                pairs = pairs.unionByName(tile_join(side(known, True), side(fresh, False), km, lag))
+            pairs.select(F.col("id_a").alias("news_id"), F.col("id_b").alias("disaster_id"), "km").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            everything = fresh.unionByName(known).filter(F.col("t_us").isNotNull())
+            mark = closed_before(everything, late)
+            if mark is not None:
+                everything = everything.filter(F.col("t_us") > F.when(F.col("is_news"), F.lit(mark)).otherwise(F.lit(mark - lag - 1)))
+            everything.write.mode("overwrite").parquet(kept(batch_id))
+        finally:
+            rows.unpersist()
+
+    per_batch(marked(news, True).unionByName(marked(disasters, False)), step, checkpoint)
+    return sum(too_late)
+
+
+def closed_before(rows: DataFrame, late: str) -> int | None:
+    """The time, in microseconds, that later rows must exceed: ``late`` before the newest row of the side that is behind; none as long as a side has no rows."""
+    newest = F.least(F.max(F.when(F.col("is_news"), F.col("t_us"))), F.max(F.when(~F.col("is_news"), F.col("t_us"))))
+    both = F.count_if("is_news") * F.count_if(~F.col("is_news")) > 0
+    return rows.agg(F.when(both, F.unix_micros(F.timestamp_micros(newest) - F.expr(f"INTERVAL {late}"))).alias("mark")).first()["mark"]
 
 
 def places_for(spark: SparkSession, name: str) -> tuple[str, str]:

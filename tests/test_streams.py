@@ -152,3 +152,34 @@ def test_state_of_a_feed_that_never_succeeds_stays_small(spark, tmp_path):
     polls([("never", 50, True), ("never", 51, False), ("once", 289, True), ("once", 5, False)])
     run()
     assert latest() == {"never": (301, 1), "once": (10, 0)}
+
+
+def test_news_and_disasters_meet_over_batches(spark, tmp_path):
+    source, out, check = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "c")
+    kind = "id string, news boolean, lat double, lng double, ts timestamp"
+
+    def add(*rows):
+        df = spark.createDataFrame([(i, i.startswith("n"), lat, lng, f"2024-01-{at}") for i, lat, lng, at in rows], "id string, news boolean, lat double, lng double, ts string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        rows = jobs.read_files(spark, str(source), kind)
+        return jobs.news_disaster_stream(rows.filter("news"), jobs.read_files(spark, str(source), kind).filter("NOT news"), out, check, 200.0, 7)
+
+    pairs = lambda: sorted((r["news_id"], r["disaster_id"]) for r in spark.read.parquet(out).collect())
+    opened = lambda k: {r["id"] for r in spark.read.parquet(f"{out}-open/{k % 2}").collect()}
+    # A side is empty: nothing is late. News exactly 7 days after a disaster counts, a microsecond more doesn't; the date line is crossed.
+    add(("d1", 10.0, 179.9, "01 00:00:00"), ("d2", 50.0, 8.0, "05 00:00:00"), ("d3", None, 8.0, "05 00:00:00"))
+    assert run() == 0 and pairs() == [] and opened(0) == {"d1", "d2", "d3"}
+    add(("n1", 10.0, -179.9, "08 00:00:00"), ("n2", 10.0, -179.9, "08 00:00:00.000001"), ("n3", 50.5, 8.0, "04 23:59:59"), ("d4", 10.0, 179.0, "08 00:00:00"))
+    assert run() == 0 and pairs() == [("n1", "d1"), ("n1", "d4"), ("n2", "d4")]
+    # An older disaster that is still in time meets the news of an earlier batch.
+    add(("d5", 50.0, 8.5, "07 00:00:00"), ("n4", 50.0, 8.0, "11 00:00:00"), ("d6", -80.0, 0.0, "20 00:00:00"), ("d7", 10.0, 179.8, "06 12:00:00"))
+    assert run() == 0 and pairs() == [("n1", "d1"), ("n1", "d4"), ("n1", "d7"), ("n2", "d4"), ("n2", "d7"), ("n4", "d2"), ("n4", "d5")]
+    # The side that is behind stood at the 11th: until the 9th is too late. Rows that nothing in time can meet are gone.
+    assert opened(2) == {"n4", "d2", "d3", "d4", "d5", "d6", "d7"}
+    before = pairs()
+    add(("n5", 50.0, 8.0, "09 00:00:00"), ("d8", 50.0, 8.0, "02 00:00:00"), ("n6", 50.0, 8.0, "09 00:00:01"))
+    assert run() == 2
+    assert pairs() == sorted([*before, ("n6", "d2"), ("n6", "d5")])
+    assert run() == 0 and len(pairs()) == len(before) + 2
