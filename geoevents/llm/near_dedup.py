@@ -131,7 +131,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) of digests that connect all that is linked."""
+    """Confirmed pairs (a, b) of digests that connect all that is linked, saved: their users read them several times, and would plan and find them anew each time."""
     entries = saved(lists(sets), "lists")
     centre = entries.groupBy("v").agg(F.min(F.struct("own", "digest", "n", "most")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     centres = saved(centre.select("v", F.col("c.digest").alias("digest"), F.col("c.n").alias("n"), F.col("c.most").alias("most")), "centres")
@@ -146,7 +146,7 @@ def links(sets: DataFrame) -> DataFrame:
     visits = loose.withColumn("bucket", F.explode(F.sequence(low, F.greatest(low, high))))
     met = visits.alias("x").join(placed.alias("y"), ["v", "bucket"]).filter((F.col("x.digest") != F.col("y.digest")) & fits("x", "y"))
     rest = met.select(*ordered("x.digest", "y.digest")).distinct()
-    return first.union(confirmed(rest, sets))
+    return first.union(saved(confirmed(rest, sets), "rest-links"))
 
 
 def placed_rows(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -164,7 +164,7 @@ def placed_rows(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> D
     sets = saved(whole.groupBy("digest").agg(F.first("n").alias("n"), F.first("held").alias("held")), "sets")
     found = links(sets)
     roots = components(found, "a", "b").toDF("digest", "root")
-    named = roots.join(chosen.select("digest", "rep"), "digest")
+    named = saved(roots.join(chosen.select("digest", "rep"), "digest"), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     linked = named.join(least, "root").select("digest", "least", F.col("root").alias("component"))
     home = classes.select("digest", "rep").join(linked, "digest", "left").select("digest", F.coalesce("component", "digest").alias("component"), F.coalesce("least", "rep").alias("root"))

@@ -140,6 +140,16 @@ def test_long_texts_inside_longer_ones_are_linked(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, 4)
 
 
+def test_links_are_confirmed_before_their_components_are_read(spark, capsys):
+    text = " ".join(f"w{k}" for k in range(60))
+    out = near_dedup.grouped(documents(spark, [text, text + " more", "other words of a short text"]))
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    # The driver holds and rewrites the plan at every step of the run: no pair of sets may be confirmed in it again.
+    assert "array_intersect" not in plan and plan.count("Exchange") < 20
+    assert sorted(r["component_id"] for r in out.collect()) == [0, 0, 2]
+
+
 def test_near_components_of_nothing(spark):
     assert near_dedup.grouped(documents(spark, [])).count() == 0
     assert [r["kept"] for r in near_dedup.grouped(documents(spark, [None, "", None])).collect()] == [True] * 3
