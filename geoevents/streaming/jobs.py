@@ -243,9 +243,11 @@ def enrich_stream(items: DataFrame, publishers: DataFrame, gazetteer: DataFrame,
     append_to(geocode_fallback(named, gazetteer, centroids), out, checkpoint)
 
 
-def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkpoint: str, km: float, days: int, late: str = LATE) -> int:
+def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkpoint: str, km: float, days: int, late: str = LATE, listed: bool = True) -> int:
     """News up to ``days`` after a disaster within ``km``. Returns the number of rows that came too late.
 
+    Pairs grow with the square of the rows. If they are not ``listed``, a batch writes the rows that came in time instead of its pairs, and ``news_disaster_links`` reads the pairs from those.
+
     A batch's rows meet each other and the open rows of earlier batches in tiles (``tile_join``), not row by row in a state store. Rows are late if they are not newer than ``late`` before
     the newest row of the side that is behind, as earlier batches left it; what no timely row can meet any more is dropped from the open rows. Batch k reads those that batch k - 1 left, and
     replaces its own pairs and open rows, so a repeated batch changes nothing.
@@ -267,10 +269,13 @@ def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkp
                 fresh = rows.filter(F.col("t_us") > mark)
             side = lambda df, is_news: df.filter(F.col("is_news") == is_news).drop("is_news")
             lag = days * DAY
-            pairs = tile_join(side(fresh, True), side(fresh.unionByName(known), False) if batch_id else side(fresh, False), km, lag)
-            if batch_id:
-                pairs = pairs.unionByName(tile_join(side(known, True), side(fresh, False), km, lag))
-            pairs.select(F.col("id_a").alias("news_id"), F.col("id_b").alias("disaster_id"), "km").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            if listed:
+                pairs = tile_join(side(fresh, True), side(fresh.unionByName(known), False) if batch_id else side(fresh, False), km, lag)
+                if batch_id:
+                    pairs = pairs.unionByName(tile_join(side(known, True), side(fresh, False), km, lag))
+                pairs.select(F.col("id_a").alias("news_id"), F.col("id_b").alias("disaster_id"), "km").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            else:
+                fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
             everything = fresh.unionByName(known).filter(F.col("t_us").isNotNull())
             mark = closed_before(everything, late)
             if mark is not None:
@@ -283,6 +288,15 @@ def news_disaster_stream(news: DataFrame, disasters: DataFrame, out: str, checkp
     return sum(too_late)
 
 
+def news_disaster_links(spark: SparkSession, out: str, km: float, days: int) -> DataFrame:
+    """(news_id, disaster_id, km): the pairs of ``news_disaster_stream`` where it does not list them.
+
+    All rows in time meet all others, whatever their batches: a batch drops from the open rows only what no row in time can meet any more.
+    """
+    side = lambda is_news: spark.read.parquet(out).filter(F.col("is_news") == is_news).select("id", "lat", "lng", "t_us")
+    return tile_join(side(True), side(False), km, days * DAY).select(F.col("id_a").alias("news_id"), F.col("id_b").alias("disaster_id"), "km")
+
+
 def closed_before(rows: DataFrame, late: str) -> int | None:
     """The time, in microseconds, that later rows must exceed: ``late`` before the newest row of the side that is behind; none as long as a side has no rows."""
     newest = F.least(F.max(F.when(F.col("is_news"), F.col("t_us"))), F.max(F.when(~F.col("is_news"), F.col("t_us"))))
